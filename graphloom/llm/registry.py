@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import jaccard_join as _jaccard
 from . import packing as _packing
 from . import pii as _pii
 from . import quality_rules as _quality
@@ -24,6 +25,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pii.pii_report(_table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.pack(_table(spark, sf_dir, "documents"))
 
