@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontaminate as _decontaminate
+from . import html_extract as _html
 from . import jaccard_join as _jaccard
 from . import packing as _packing
 from . import pii as _pii
 from . import quality_rules as _quality
+from . import substring_dedup as _substring
+from . import warc as _warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +29,23 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pii.pii_report(_table(spark, sf_dir, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decontaminate.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _warc.round_trip(_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _substring.repeated_runs(_table(spark, sf_dir, "documents"))
+
+
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
 

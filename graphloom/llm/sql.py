@@ -41,4 +41,47 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f JOIN d ON f.source IS NOT DISTINCT FROM d.source
 """
 
-ORACLES = {"op2_quality_rules": _OP2}
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _shingles(table: str, key: str) -> str:
+    """(r, key, g): the distinct shingles of each row of a table."""
+    return rf"""
+  SELECT DISTINCT r, {key}, CASE WHEN len(w) < 5 THEN w ELSE list_slice(w, i, i + 4) END AS g
+  FROM (
+    SELECT row_number() OVER () AS r, {key},
+           list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[ 	-]+'),
+                       lambda x: x <> '') AS w
+    FROM {table}
+  ), LATERAL (SELECT unnest(range(1, greatest(2, len(w) - 3))) AS i)
+  WHERE len(w) > 0
+"""
+
+
+_OP5 = f"""
+WITH d AS ({_shingles("documents", "doc_id")}), b AS ({_shingles("benchmark", "item_id")}),
+n AS (SELECT r, count(*) AS n FROM b GROUP BY r)
+SELECT doc_id, item_id, any_value(n)::BIGINT AS n_shingles, count(*)::BIGINT AS n_found
+FROM d JOIN b USING (g) JOIN n ON n.r = b.r
+GROUP BY d.r, b.r, doc_id, item_id
+HAVING 100 * count(*) >= 75 * any_value(n)
+"""
+
+_OP8 = f"""
+WITH RECURSIVE s AS ({_shingles("documents", "doc_id")}),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+link AS (
+  SELECT a.r AS a, b.r AS b FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r
+  JOIN n na ON na.r = a.r JOIN n nb ON nb.r = b.r
+  GROUP BY a.r, b.r HAVING 100 * count(*) >= 75 * (any_value(na.n) + any_value(nb.n) - count(*))
+),
+reach AS (
+  SELECT r AS a, r AS b FROM n UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+),
+docs AS (SELECT row_number() OVER () AS r, doc_id FROM documents)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, coalesce(min(o.doc_id), d.doc_id) AS component_id
+FROM docs d LEFT JOIN n ON n.r = d.r LEFT JOIN reach ON reach.a = d.r LEFT JOIN docs o ON o.r = reach.b
+GROUP BY d.r, d.doc_id
+"""
+
+ORACLES = {"op2_quality_rules": _OP2, "op5_decontaminate": _OP5, "op8_jaccard_join": _OP8}
