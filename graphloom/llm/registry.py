@@ -11,6 +11,7 @@ from . import html_extract as _html
 from . import jaccard_join as _jaccard
 from . import packing as _packing
 from . import pii as _pii
+from . import quality_classifier as _classifier
 from . import quality_rules as _quality
 from . import substring_dedup as _substring
 from . import warc as _warc
@@ -29,6 +30,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pii.pii_report(_table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classifier.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decontaminate.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
