@@ -14,6 +14,7 @@ from . import pii as _pii
 from . import quality_classifier as _classifier
 from . import quality_rules as _quality
 from . import substring_dedup as _substring
+from . import token_rollup as _rollup
 from . import warc as _warc
 
 
@@ -21,6 +22,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rollup.rollup_documents(_table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _quality.quality_rules(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", *_quality.MEASURES, "base_failed", "host_rate", "kept")
