@@ -1,15 +1,41 @@
-"""The queries over the driver tables and their SQL."""
+"""The queries over the driver tables and their SQL.
+
+A module of queries registers each with `query(name, sql)`; sql is None where SQL can't express it.
+"""
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+MODULES = ["scans", "aggregates", "history", "traversals", "text", "algorithms", "similarity", "streams"]
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None):
+    def add(f):
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    for m in MODULES:
+        importlib.import_module(f"graphloom.plans.{m}")
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_SQL)
