@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -45,6 +46,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver drop what no DataFrame refers to any more: Spark's cleaner removes the shuffle
+    files of a finished step only after a collection has found its plan unreachable, and those of a
+    large step should not lie beside the next one's."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def join_dimension(big: DataFrame, small: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Join a fact table to a dimension whose size is counted first.
 

@@ -2,7 +2,7 @@
 
 Jaccard distance d(x, y) = 1 - |x & y| / |x | y| is a metric. Two documents link when d <= 1 - t.
 
-1. Equal sets collapse to one row, keyed by a 128-bit digest: copies cost one map-side aggregate.
+1. Equal sets collapse to one row by a 128-bit digest: copies cost one map-side aggregate.
 2. First pivots are single shingles. A set that holds shingle s lies at distance 1 - 1/|x| from {s},
    all others at 1. Shingles have one global order (rare first, by a fixed-size count of all
    shingles; then by hash), and a set lies in the cells of its first |x| - ceil(t |x|) + 1
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_slices, materialize, text_buffers
+from .common import byte_slices, join_dimension, materialize, release, text_buffers
 from .components import components
 from .wordhash import shingle_sets
 
@@ -46,40 +46,51 @@ COUNT_BITS = 18
 SHRINK = 0.6
 
 
-def _key(values: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(values.tobytes())
+#: Slices of the hash space whose counts make a set's signature, and those of a second, finer one for
+#: sets above LARGE, whose random differences the first does not tell from a link's.
+SLICES, FINE, LARGE = 128, 1024, 512
 
 
-def _survey(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n, key) of each document, and rows (bucket, hits) of the shingle counts."""
+def _key(values: np.ndarray, salt: int) -> int:
+    return xxhash.xxh3_64_intdigest(values.tobytes(), salt) - (1 << 63)
+
+
+def _survey(docs: DataFrame, salt: int) -> DataFrame:
+    """Rows (doc_id, n, digest, key, slices) of each document, and rows (bucket, hits) of the shingle
+    counts."""
+    names = ["doc_id", "n", "digest", "key", "slices", "fine", "bucket", "hits"]
+
+    def count(s: np.ndarray, size: int) -> np.ndarray:
+        return np.minimum(np.bincount((s % np.uint64(size)).astype(np.int64), minlength=size), 127).astype(np.int8)
 
     def run(batches):
         hits = np.zeros(1 << COUNT_BITS, np.int64)
         for whole in batches:
             for b in byte_slices(whole, "text"):
                 sets = shingle_sets(*text_buffers(b.column("text")))
-                if sets:
-                    every = np.concatenate(sets)
-                    hits += np.bincount((every >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(hits))
+                every = np.concatenate(sets)
+                hits += np.bincount((every >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(hits))
                 none = pa.nulls(len(sets), pa.int64())
                 yield pa.record_batch(
                     [
                         b.column("doc_id").cast(pa.int64()),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([_key(s) if len(s) else None for s in sets], pa.binary()),
+                        pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                        pa.array([_key(s, salt) if len(s) else None for s in sets], pa.int64()),
+                        pa.array([count(s, SLICES) if len(s) else None for s in sets], pa.list_(pa.int8())),
+                        pa.array([count(s, FINE) if len(s) > LARGE else None for s in sets], pa.list_(pa.int8())),
                         none,
                         none,
                     ],
-                    ["doc_id", "n", "key", "bucket", "hits"],
+                    names,
                 )
         at = np.flatnonzero(hits)
         none = pa.nulls(len(at), pa.int64())
-        yield pa.record_batch(
-            [none, none, pa.nulls(len(at), pa.binary()), pa.array(at), pa.array(hits[at])],
-            ["doc_id", "n", "key", "bucket", "hits"],
-        )
+        empty = [none, none, pa.nulls(len(at), pa.binary()), none, *[pa.nulls(len(at), pa.list_(pa.int8()))] * 2]
+        yield pa.record_batch([*empty, pa.array(at), pa.array(hits[at])], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key binary, bucket long, hits long")
+    shape = "doc_id long, n long, digest binary, key long, slices array<tinyint>, fine array<tinyint>, bucket long, hits long"
+    return docs.select("doc_id", "text").mapInArrow(run, shape)
 
 
 def _levels(survey: DataFrame) -> np.ndarray:
@@ -99,58 +110,49 @@ def _in_order(values: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return values[np.argsort(level, kind="stable")] if level.any() else values
 
 
-def _cells(docs: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
+def _cells(docs: DataFrame, levels: np.ndarray, percent: int, salt: int) -> DataFrame:
     """(cell, key, n, at) of each distinct set and each of its first shingles."""
 
     def run(batches):
-        seen: set[bytes] = set()
+        seen: set[int] = set()
         for whole in batches:
             for b in byte_slices(whole, "text"):
                 cells, owners, sizes, places = [], [], [], []
                 for s in shingle_sets(*text_buffers(b.column("text"))):
-                    if not len(s) or (key := _key(s)) in seen:
+                    if not len(s) or (key := _key(s, salt)) in seen:
                         continue
                     seen.add(key)
                     n = len(s)
                     some = n - -(-percent * n // 100) + 1
                     cells.append(_in_order(s, levels)[:some])
-                    owners += [key] * some
+                    owners.append(np.full(some, key, np.int64))
                     sizes.append(np.full(some, n, np.int32))
                     places.append(np.arange(some, dtype=np.int32))
                 if cells:
-                    yield pa.record_batch(
-                        [
-                            pa.array(np.concatenate(cells).view(np.int64)),
-                            pa.array(owners, pa.binary()),
-                            pa.array(np.concatenate(sizes)),
-                            pa.array(np.concatenate(places)),
-                        ],
-                        ["cell", "key", "n", "at"],
-                    )
+                    columns = [np.concatenate(cells).view(np.int64), np.concatenate(owners), np.concatenate(sizes), np.concatenate(places)]
+                    yield pa.record_batch([pa.array(c) for c in columns], ["cell", "key", "n", "at"])
 
-    return docs.select("text").mapInArrow(run, "cell long, key binary, n int, at int")
+    return docs.select("text").mapInArrow(run, "cell long, key long, n int, at int")
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, shingles) of the wanted keys, from the texts of their representatives(key, doc_id)."""
-    texts = docs.select("doc_id", "text").join(wanted.select("doc_id"), "doc_id", "left_semi")
+def _sets_of(docs: DataFrame, wanted: DataFrame, salt: int) -> DataFrame:
+    """(key, shingles) of the wanted representatives(key, doc_id), from their texts."""
+    texts = join_dimension(docs.select("doc_id", "text"), wanted.select("doc_id").distinct(), ["doc_id"], "left_semi")
 
     def run(batches):
-        seen: set[bytes] = set()
+        seen: set[int] = set()
         for whole in batches:
             for b in byte_slices(whole, "text"):
-                pairs = [(_key(s), s) for s in shingle_sets(*text_buffers(b.column("text"))) if len(s)]
+                pairs = [(_key(s, salt), s) for s in shingle_sets(*text_buffers(b.column("text"))) if len(s)]
                 pairs = [p for p in pairs if not (p[0] in seen or seen.add(p[0]))]
                 if pairs:
                     yield pa.record_batch(
-                        [
-                            pa.array([k for k, _ in pairs], pa.binary()),
-                            pa.array([s.view(np.int64) for _, s in pairs], pa.list_(pa.int64())),
-                        ],
+                        [pa.array([k for k, _ in pairs], pa.int64()), pa.array([s.view(np.int64) for _, s in pairs], pa.list_(pa.int64()))],
                         ["key", "shingles"],
                     )
 
-    return texts.mapInArrow(run, "key binary, shingles array<long>").dropDuplicates(["key"])
+    found = texts.mapInArrow(run, "key long, shingles array<long>").dropDuplicates(["key"])
+    return found.join(wanted.select("key"), "key", "left_semi")
 
 
 def _may_link(p: int, n1: str, n2: str, at1: str, at2: str) -> Column:
@@ -161,6 +163,23 @@ def _may_link(p: int, n1: str, n2: str, at1: str, at2: str) -> Column:
     return (100 * F.least(a, b) >= p * F.greatest(a, b)) & ((100 + p) * most >= p * (a + b))
 
 
+def _near_enough(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """pairs(a, b) without those that the counts by slice rule out. The counts map a set to a point,
+    and the distance of two points (sum of differences) is at most the size of the sets' symmetric
+    difference; a link allows (100 - p) / (100 + p) of the sum of the sizes."""
+
+    def close(some: DataFrame, counts: str) -> DataFrame:
+        own = heads.where(F.col(counts).isNotNull())
+        one = own.select(F.col("key").alias("a"), F.col("n").alias("_n"), F.col(counts).alias("_s"))
+        two = own.select(F.col("key").alias("b"), F.col("n").alias("_m"), F.col(counts).alias("_t"))
+        apart = F.aggregate(F.zip_with("_s", "_t", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda t, x: t + x)
+        met = some.select("a", "b").join(one, "a").join(two, "b")
+        return met.where((100 + percent) * apart <= (100 - percent) * (F.col("_n") + F.col("_m"))).select("a", "b", F.least("_n", "_m").alias("n"))
+
+    first = materialize(close(pairs, "slices"), "jaccard-close")
+    return first.where(F.col("n") <= LARGE).select("a", "b").unionByName(close(first.where(F.col("n") > LARGE), "fine").select("a", "b"))
+
+
 def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs(a, b) with the size of the intersection and of the union."""
     left = sets.select(F.col("key").alias("a"), F.col("shingles").alias("_x"))
@@ -172,21 +191,32 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of each document."""
-    survey = materialize(_survey(docs), "jaccard-survey")
-    own = survey.where("bucket is null").select("doc_id", F.col("n").alias("n_shingles"), "key")
-    heads = own.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    spark = docs.sparkSession
+    for salt in range(16):  # 64-bit keys are told apart by their 128-bit digests; a clash takes a new salt
+        survey = materialize(_survey(docs, salt), "jaccard-survey")
+        own = survey.where("bucket is null").select("doc_id", F.col("n").alias("n_shingles"), "digest", "key")
+        heads = survey.where("key is not null").groupBy("digest", "key")
+        heads = materialize(heads.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("slices").alias("slices"), F.first("fine").alias("fine")), "jaccard-heads")
+        if heads.groupBy("key").count().where("count > 1").isEmpty():
+            break
 
     span = Window.partitionBy("cell")
-    cells = _cells(docs, _levels(survey), percent)
+    cells = _cells(docs, _levels(survey), percent, salt)
     cells = cells.withColumns({"pivot": F.min("key").over(span), "_last": F.max("key").over(span)})
     cells = materialize(cells.where("pivot <> _last").drop("_last").distinct(), "jaccard-cells")
-    heads_in = heads.join(cells.select("key").distinct(), "key", "left_semi")
-    sets = materialize(_sets_of(docs, heads_in), "jaccard-sets")
+    release(spark)
 
-    links, minors, last = None, None, False
+    links, sets, minors, last = None, None, None, False
     pairs = _with_pivots(cells, percent)
     while True:
+        pairs = materialize(_near_enough(pairs, heads, percent), "jaccard-pairs")
+        wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+        if sets is not None:
+            wanted = wanted.join(sets.select("key"), "key", "left_anti")
+        more = materialize(_sets_of(docs, materialize(wanted.join(heads.select("key", "doc_id"), "key"), "jaccard-wanted"), salt), "jaccard-sets")
+        sets = more if sets is None else sets.unionByName(more)
         told = materialize(_distances(pairs, sets), "jaccard-distances")
+        release(spark)
         fresh = told.where(100 * F.col("inter") >= percent * F.col("uni")).select("a", "b")
         links = fresh if links is None else links.unionByName(fresh)
         labels = materialize(components(links), "jaccard-labels")
@@ -199,13 +229,28 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         last = before is not None and minors > SHRINK * before
         pairs = _with_minors(cells, percent) if last else _with_pivots(cells, percent)
 
-    names = labels.join(heads, "key").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    names = labels.join(heads.select("key", "doc_id"), "key").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = labels.join(names, "component").select("key", "component_id")
     lone = heads.join(named, "key", "left_anti").select("key", F.col("doc_id").alias("component_id"))
     out = own.join(named.unionByName(lone), "key", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def keep_one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """docs without the documents whose component has a smaller doc_id; of rows that repeat both
+    doc_id and text one stays. Documents without words stay."""
+    found = materialize(jaccard_components(docs, percent).select("doc_id", "component_id"), "jaccard-components")
+    per_id = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("component_id").alias("low"), F.max("component_id").alias("high"))
+    per_id = materialize(per_id.where("rows > 1 or low <> doc_id"), "jaccard-kept")
+    gone = per_id.where("high <> doc_id").select("doc_id")
+    repeated = per_id.where("rows > 1 and high = doc_id").select("doc_id")
+    left = join_dimension(docs, gone, ["doc_id"], "left_anti")
+    if repeated.isEmpty():
+        return left.select(*docs.columns)
+    once = join_dimension(left, repeated, ["doc_id"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return join_dimension(left, repeated, ["doc_id"], "left_anti").unionByName(once).select(*docs.columns)
+
+
 def _in_window(percent: int) -> Column:
     """What the distances to the cell's earlier pivot leave possible."""
     return F.coalesce(F.abs(F.col("d") - F.col("d2")) <= 1 - percent / 100 + 1e-9, F.lit(True))
