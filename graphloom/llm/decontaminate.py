@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_REGEX, byte_slices, materialize, text_buffers
+from .common import WORD_REGEX, byte_slices, join_dimension, materialize, text_buffers
 from .wordhash import shingle_sets
 
 PERCENT = 75
@@ -164,4 +164,4 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT, m
 def drop_contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents in which no item is found, with their columns."""
     hits = materialize(contained_items(docs, items, percent).select("doc_id").distinct(), "decontaminate-hits")
-    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+    return join_dimension(docs, hits, ["doc_id"], "left_anti").select(*docs.columns)
