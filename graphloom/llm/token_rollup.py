@@ -61,7 +61,7 @@ def inserts(counts: DataFrame) -> DataFrame:
 
 
 def deletes(counts: DataFrame) -> DataFrame:
-    return counts.select(*KEYS, F.lit(-1).cast("long").alias("n_docs"), -F.col("n_tokens").cast("long").alias("n_tokens"))
+    return counts.select(*KEYS, F.lit(-1).cast("long").alias("n_docs"), (-F.col("n_tokens").cast("long")).alias("n_tokens"))
 
 
 def revisions(old: DataFrame, new: DataFrame) -> DataFrame:
