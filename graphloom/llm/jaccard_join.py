@@ -9,10 +9,10 @@ Jaccard distance d(x, y) = 1 - |x & y| / |x | y| is a metric. Two documents link
    shingles: sets in no common cell share too few shingles to link, so these windows lose nothing.
    Document pivots alone do not divide such data: a document stays out of a foreign region only
    where it is nearer than 1/2 to its own pivot, and unrelated texts are all at distance 1.
-3. Within each cell documents are the pivots. Every member's exact distance to the pivot is taken;
-   members within 1 - t link to it and form its region. A later pivot comes from the members
-   outside, and by the triangle inequality only members whose distance to the earlier pivot differs
-   by at most 1 - t from the new pivot's can link to it: those form its window. Cells whose members
+3. Within each cell documents are the pivots, the most central first. Every member's exact distance
+   to the pivot is taken; members within 1 - t link to it and form its region. Later pivots meet the
+   members of other components, and by the triangle inequality only those whose distance to the
+   first pivot differs by at most 1 - t from the later one's: those form its window. Cells whose members
    are all in one component are done; the others recurse while that shrinks them. In the last step
    the few members outside their cell's largest component meet the others through their windows.
 
@@ -43,7 +43,7 @@ PERCENT = 75
 COUNT_BITS = 18
 #: A further round with one pivot for each cell must leave at most this share of the members that
 #: are outside their cell's largest component; else the rest are compared through their windows.
-SHRINK = 0.6
+SHRINK = 0.85
 
 
 #: Slices of the hash space whose counts make a set's signature, and those of a second, finer one for
@@ -200,26 +200,28 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         if heads.groupBy("key").count().where("count > 1").isEmpty():
             break
 
-    span = Window.partitionBy("cell")
-    cells = _cells(docs, _levels(survey), percent, salt)
-    cells = cells.withColumns({"pivot": F.min("key").over(span), "_last": F.max("key").over(span)})
-    cells = materialize(cells.where("pivot <> _last").drop("_last").distinct(), "jaccard-cells")
+    cells = _with_centres(_cells(docs, _levels(survey), percent, salt))
     release(spark)
 
-    links, sets, minors, last = None, None, None, False
+    labels, sets, minors, last = None, None, None, False
     pairs = _with_pivots(cells, percent)
     while True:
-        pairs = materialize(_near_enough(pairs, heads, percent), "jaccard-pairs")
-        wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-        if sets is not None:
-            wanted = wanted.join(sets.select("key"), "key", "left_anti")
-        more = materialize(_sets_of(docs, materialize(wanted.join(heads.select("key", "doc_id"), "key"), "jaccard-wanted"), salt), "jaccard-sets")
-        sets = more if sets is None else sets.unionByName(more)
-        told = materialize(_distances(pairs, sets), "jaccard-distances")
-        release(spark)
-        fresh = told.where(100 * F.col("inter") >= percent * F.col("uni")).select("a", "b")
-        links = fresh if links is None else links.unionByName(fresh)
-        labels = materialize(components(links), "jaccard-labels")
+        pairs, told = materialize(_near_enough(pairs, heads, percent), "jaccard-pairs"), None
+        if not pairs.isEmpty():
+            wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+            if sets is not None:
+                wanted = wanted.join(sets.select("key"), "key", "left_anti")
+            wanted = materialize(wanted.join(heads.select("key", "doc_id"), "key"), "jaccard-wanted")
+            more = materialize(_sets_of(docs, wanted, salt), "jaccard-sets")
+            sets = more if sets is None else sets.unionByName(more)
+            told = materialize(_distances(pairs, sets), "jaccard-distances")
+            release(spark)
+            fresh = told.where(100 * F.col("inter") >= percent * F.col("uni")).select("a", "b")
+            if labels is not None:
+                fresh = fresh.unionByName(labels.select(F.col("key").alias("a"), F.col("component").alias("b")))
+            labels = materialize(components(fresh), "jaccard-labels")
+        elif labels is None:
+            labels = spark.createDataFrame([], "key long, component long")
         if last:
             break
         cells = _remaining(cells, told, labels)
@@ -279,15 +281,34 @@ def _with_minors(cells: DataFrame, percent: int) -> DataFrame:
     return met.where(_may_link(percent, "n1", "n2", "at1", "at2") & _in_window(percent)).select("a", "b").distinct()
 
 
-def _remaining(cells: DataFrame, told: DataFrame, labels: DataFrame) -> DataFrame:
-    """Cells with members of two components at least, without their used pivots. major: in the
-    cell's largest component; pivot: the next one, from the others."""
-    d = told.select(F.col("a").alias("pivot"), F.col("b").alias("key"), (1 - F.col("inter") / F.col("uni")).alias("d"))
-    keep = cells.where("key <> pivot").select("cell", "key", "n", "at", "pivot")
-    keep = keep.join(d, ["pivot", "key"], "left").join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
+def _with_centres(cells: DataFrame) -> DataFrame:
+    """The cells of two sets at least, each with its most central member as pivot.
+
+    A set is central when its cells are large for its size: of a group of near copies, the text they
+    come from has all its shingles in the others' cells, and lies nearest to them.
+    """
+    span = Window.partitionBy("cell")
+    full = cells.withColumns({"_low": F.min("key").over(span), "_high": F.max("key").over(span), "_m": F.count(F.lit(1)).over(span)})
+    full = materialize(full.where("_low <> _high").drop("_low", "_high").distinct(), "jaccard-cells")
+    central = full.groupBy("key").agg(F.round(-F.sum(F.log2("_m")) / (F.first("n") / 4 + 1), 3).alias("order"))
+    ordered = full.drop("_m").join(central, "key")
+    return materialize(ordered.withColumn("pivot", F.min(F.struct("order", "key")).over(span)["key"]), "jaccard-cells")
+
+
+def _remaining(cells: DataFrame, told: DataFrame | None, labels: DataFrame) -> DataFrame:
+    """Cells with members of two components at least, without their used pivots, which have met all
+    members they may link to. major: in the cell's largest component, whose most central member is
+    the next pivot; d: the distance to the cell's first pivot, where it was measured."""
+    keep = cells.where("key <> pivot").drop("component", "major")
+    if "d" not in cells.columns and told is None:
+        keep = keep.withColumn("d", F.lit(None).cast("double"))
+    elif "d" not in cells.columns:
+        d = told.select(F.col("a").alias("pivot"), F.col("b").alias("key"), (1 - F.col("inter") / F.col("uni")).alias("d"))
+        keep = keep.join(d, ["pivot", "key"], "left")
+    keep = keep.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
     span = Window.partitionBy("cell")
     keep = keep.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("cell", "component")))
-    keep = keep.withColumn("_top", F.max(F.struct("_n", "component")).over(span))
-    keep = keep.withColumn("major", F.col("_top.component") == F.col("component"))
-    keep = keep.withColumn("pivot", F.min(F.when(~F.col("major"), F.col("key"))).over(span)).where("pivot is not null")
-    return materialize(keep.select("cell", "key", "n", "at", "d", "component", "pivot", "major"), "jaccard-cells")
+    keep = keep.withColumns({"_top": F.max(F.struct("_n", "component")).over(span), "_all": F.count(F.lit(1)).over(span)})
+    keep = keep.where(F.col("_top._n") < F.col("_all")).withColumn("major", F.col("_top.component") == F.col("component"))
+    keep = keep.withColumn("pivot", F.min(F.when(F.col("major"), F.struct("order", "key"))).over(span)["key"])
+    return materialize(keep.select("cell", "key", "n", "at", "order", "d", "component", "pivot", "major"), "jaccard-cells")
