@@ -209,6 +209,34 @@ def test_repeated_passages_are_found(spark):
     assert substring_dedup.repeated_runs(_docs(spark, rows).limit(0)).count() == 0
 
 
+def test_repeated_runs_equal_brute_force(spark):
+    """Passages of 50 to 70 words, of one-letter words too, beside copies that share only parts of them."""
+    rng = np.random.default_rng(8)
+    passages = [" ".join(f"{'abcdefghij'[int(x)]}{i if k % 2 else ''}" for i, x in enumerate(rng.integers(0, 10, 50 + k % 21))) for k in range(60)]
+    own = lambda k: " ".join(f"own{k}n{i}" for i in range(int(rng.integers(0, 40))))
+    rows = []
+    for k, p in enumerate(passages):
+        w = p.split(" ")
+        rows += [(4 * k, f"{own(4 * k)} {' '.join(w[:40])}\n{own(-k)}"), (4 * k + 1, f"é {p}\t{own(4 * k + 1)}"), (4 * k + 2, f"{own(4 * k + 2)}\n{p}"), (4 * k + 3, f"{p} {own(4 * k + 3)} {p} {' '.join(w[:49])}")]
+    rows += [(990, "la " * 180), (991, None), (992, ""), (993, rows[7][1]), (994, "x " + " ".join(t for _, t in rows[8:16]))]
+    first: dict = {}
+    places = {i: [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())] for i, t in rows}
+    grams = [(i, p, p + 50, (t or "").encode()[places[i][p][0] : places[i][p + 49][1]]) for i, t in rows for p in range(len(places[i]) - 49)]
+    for i, p, q, g in grams:
+        first.setdefault(g, (i, p, q))
+    want = defaultdict(list)
+    for i, p, q, g in grams:
+        d, _, end = first[g]
+        if (d, _) != (i, p) and (d != i or p >= end):
+            if want[i] and p < want[i][-1][1]:
+                want[i][-1] = (want[i][-1][0], q, want[i][-1][2] | {d})
+            else:
+                want[i].append((p, q, {d}))
+    got = substring_dedup.repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.start, r.end, r.n_words, tuple(r.keeper_ids)) for r in got) == sorted((i, places[i][p][0], places[i][q - 1][1], q - p, tuple(sorted(k))) for i, runs in want.items() for p, q, k in runs)
+    assert len({r.doc_id for r in got}) == 123
+
+
 def test_chunks_cover_each_text(spark):
     rows = [*_varied(3, 6), (980, "z" * 9000)]
     got = defaultdict(list)
