@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import query_tokens
 from graphloom.operators.algorithms import components
+from graphloom.sources.scratch import store
 
 HASHES, BANDS, ROWS, THRESHOLD, SHINGLE, LEAST_TOKENS = 64, 16, 4, 0.82, 3, 24
 
@@ -28,16 +29,15 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def clone_pairs(docs: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, similarity): candidates share a band; each member of a bucket meets the bucket's smallest
-    key and its neighbour in the order of keys, so a bucket of any size gives pairs in proportion;
-    similarity is the exact Jaccard of the shingles."""
+    """(a, b, similarity): all pairs of different texts that share a band are tested, so pairs grow with
+    the square of a bucket; similarity is the exact Jaccard of the shingles. Copies with equal shingles
+    are linked to the smallest key among them, which alone enters the buckets."""
     sig = signatures(docs, key, text)
     same = sig.withColumn("copy_of", F.min("key").over(Window.partitionBy(F.xxhash64("shingles"), F.size("shingles"))))
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(F.slice("signature", b * ROWS + 1, F.lit(ROWS))).alias("bucket")))
     rows = same.where("key = copy_of").select("key", F.explode(bands).alias("x")).select("key", "x.band", "x.bucket")
-    w = Window.partitionBy("band", "bucket").orderBy("key")
-    near = rows.withColumns({"first": F.first("key").over(w), "prev": F.lag("key").over(w)}).where("prev is not null")
-    pairs = near.select(F.explode(F.array("first", "prev")).alias("a"), F.col("key").alias("b")).distinct()
+    rows = store(rows, "clones")
+    pairs = rows.withColumnRenamed("key", "a").join(rows.withColumnRenamed("key", "b"), ["band", "bucket"]).where("a < b").select("a", "b").distinct()
     left = sig.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
     right = sig.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))

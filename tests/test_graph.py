@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import random
+from itertools import combinations
+
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.operators import algorithms as a
-from graphloom.operators import scan, traverse
+from graphloom.operators import clones, scan, traverse
 from graphloom.operators.graph_stats import modularity
 
 
@@ -76,3 +80,25 @@ def test_pipeline_language(repo):
     assert [r.id for r in got.collect()] == ["x"]
     with pytest.raises(ValueError):
         scan.run_pipeline(nodes, edges, "filter kind=function")
+
+
+def test_clone_pairs_equal_brute_force(spark):
+    """Copies near one original but not near each other; the original has the largest key."""
+    rng = random.Random(3)
+    base = [f"word{i}x" for i in range(200)]
+    rows = [(99, " ".join(base)), (100, " ".join(base))]
+    for k in range(40):
+        w = list(base)
+        for i in rng.sample(range(200), 6):
+            w[i] = f"new{k}x{i}"
+        rows.append((k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "key long, text string")
+    sig = {r.key: (set(r.shingles), [tuple(r.signature[i : i + 4]) for i in range(0, 64, 4)]) for r in clones.signatures(docs, "key", "text").collect()}
+    want = {(99, 100)}
+    for x, y in combinations(sorted(set(sig) - {100}), 2):
+        (s, p), (t, q) = sig[x], sig[y]
+        if any(i == j for i, j in zip(p, q, strict=True)) and len(s & t) >= clones.THRESHOLD * len(s | t):
+            want.add((x, y))
+    pairs = clones.clone_pairs(docs, "key", "text")
+    assert sorted((r.a, r.b) for r in pairs.collect()) == sorted(want) and len(want) > 20
+    assert clones.clone_clusters(pairs).agg(F.max("size")).first()[0] > 20
