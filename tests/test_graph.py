@@ -62,6 +62,40 @@ def test_betweenness_of_a_chain(repo):
     assert got["a"] == 5 and got["b"] == 4 and got["c"] == 3 and got["main"] == 0
 
 
+def test_betweenness_pivots_are_drawn_from_all_nodes(spark):
+    from graphloom.plans import registry
+    from graphloom.sources.model import edges, nodes
+
+    sf = "/root/testdata/sf0.001"
+    ids = nodes(spark, sf).select("id").cache()
+    chosen = {r.id for r in a.pivots(ids).collect()}
+    assert len(chosen) == (256 if ids.count() > 2000 else ids.count())
+    assert {i.split(":")[0] for i in chosen} >= {"order", "part", "customer"}
+    assert a.pivots(ids.limit(2000)).count() == 2000 or ids.count() < 2000
+    # Brandes again, from the same pivots
+    out: dict = {}
+    for e in edges(spark, sf).collect():
+        out.setdefault(e.src, []).append((e.dst, e.weight))
+    want: dict = {}
+    for s in chosen:
+        sigma, dist, order = {s: 1.0}, {s: 0}, [s]
+        for v in order:
+            for w, m in out.get(v, []):
+                if w not in dist:
+                    dist[w], sigma[w] = dist[v] + 1, 0.0
+                    order.append(w)
+                if dist[w] == dist[v] + 1:
+                    sigma[w] += sigma[v] * m
+        dep = dict.fromkeys(order, 0.0)
+        for v in reversed(order):
+            dep[v] = sum(sigma[v] * m / sigma[w] * (1 + dep[w]) for w, m in out.get(v, []) if dist[w] == dist[v] + 1)
+            if v != s:
+                want[v] = want.get(v, 0.0) + dep[v]
+    got = {r.id: r.betweenness for r in registry.queries()["betweenness"](spark, sf).collect()}
+    n = ids.count()
+    assert len(got) == n and all(abs(x - want.get(i, 0.0) * n / len(chosen)) < 1e-4 for i, x in got.items())
+
+
 def test_pagerank_keeps_its_mass(repo):
     nodes, edges = repo
     assert abs(sum(r.rank for r in a.pagerank(nodes.select("id"), edges, 10).collect()) - 1) < 1e-9
