@@ -15,6 +15,12 @@ def _(s, d):
     return r.boundary_guard(n, edges(s, d), n.where("id like '%7'"), "orders", "parts")
 
 
+@query("boundary_guard_whole", None)
+def _(s, d):
+    n = nodes(s, d)
+    return r.boundary_guard(n, edges(s, d), n, "orders", "parts")
+
+
 @query("co_change_guard", """WITH t AS (SELECT l_orderkey AS commit, p_brand AS package FROM lineitem JOIN part ON p_partkey = l_partkey)
 SELECT commit FROM t GROUP BY commit HAVING max(package = 'Brand#1') AND NOT max(package = 'Brand#2')""")
 def _(s, d):
@@ -65,6 +71,12 @@ def _(s, d):
     return r.taint(edges(s, d), n.where("kind = 'customer' and id like '%11'"), n.where("kind = 'supplier'"), 3)
 
 
+@query("taint_paths_whole", None)
+def _(s, d):
+    n = nodes(s, d)
+    return r.taint(edges(s, d), n.where("kind = 'customer'"), n.where("kind = 'supplier'"), 3)
+
+
 @query("loop_depth", GRAPH_SQL + """, own AS (SELECT id, size % 4 AS loops FROM nodes WHERE kind IN ('customer', 'order', 'part', 'supplier')),
 p AS (SELECT e.src AS id, max(o.loops) AS m FROM edges e JOIN own o ON o.id = e.dst WHERE e.kind = 'supplied_by' GROUP BY 1), q AS (SELECT own.id, own.loops + coalesce(m, 0) AS t FROM own LEFT JOIN p USING (id)),
 o2 AS (SELECT e.src AS id, max(q.t) AS m FROM edges e JOIN q ON q.id = e.dst WHERE e.kind = 'contains' GROUP BY 1), q2 AS (SELECT q.id, q.t + coalesce(m, 0) AS t FROM q LEFT JOIN o2 USING (id)),

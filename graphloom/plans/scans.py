@@ -77,6 +77,19 @@ def _(s, d):
     return c.export_graphml(nodes(s, d), edges(s, d), ["region", "nation"])
 
 
+KINDS = ["region", "nation", "customer", "supplier", "part", "order"]
+
+
+@query("export_cypher_whole", None)
+def _(s, d):
+    return c.export_cypher(nodes(s, d), edges(s, d), KINDS)
+
+
+@query("export_graphml_whole", None)
+def _(s, d):
+    return c.export_graphml(nodes(s, d), edges(s, d), KINDS)
+
+
 @query("export_mermaid", GRAPH_SQL + " SELECT replace(src, ':', '_') || ' -->|' || kind || '| ' || replace(dst, ':', '_') AS line FROM edges ORDER BY weight DESC, src, dst, kind LIMIT 40")
 def _(s, d):
     return c.export_mermaid(edges(s, d), 40)
