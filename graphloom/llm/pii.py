@@ -76,10 +76,12 @@ def mod97(iban: Column) -> Column:
 
 
 def _shorten(x: Column) -> Column:
-    """A proposed IBAN may run on into following capitals: its longest confirmed run of groups."""
-    one = F.regexp_replace(x["m"], " [A-Z0-9]+$", "")
-    two = F.regexp_replace(one, " [A-Z0-9]+$", "")
-    best = F.when(mod97(x["m"]), x["m"]).when(mod97(one), one).otherwise(two)
+    """A proposed IBAN may run on into following capitals: its longest confirmed run of groups, of 12
+    characters at least as in the pattern."""
+    groups = F.split(x["m"], " ")
+    runs = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(groups, F.lit(1), n), " "))
+    valid = F.filter(runs, lambda m: (F.length(F.translate(m, " ", "")) >= 12) & mod97(m))
+    best = F.coalesce(F.get(valid, F.lit(0)), x["m"])
     return F.struct(x["s"].alias("s"), (x["s"] + F.length(best)).alias("e"), best.alias("m"))
 
 

@@ -160,6 +160,13 @@ def test_pii_method_spans_and_redaction(spark):
     assert out[2].text == "call 123-45-6789" and out[3].text is None
 
 
+def test_iban_before_capital_words(spark):
+    iban = "AT61 1904 3002 3457 3201"
+    rows = [(k, " ".join([iban, *"PAID FROM BANK".split()[:k]])) for k in range(4)]
+    got = {r.doc_id: r.spans for r in pii.pii_report(_docs(spark, rows)).collect()}
+    assert all(f"iban:0:{len(iban)}" in got[k].split(",") for k in range(4)), got
+
+
 def test_tokens_of_both_files_agree():
     import public_tokenizers
 
