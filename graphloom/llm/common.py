@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import gc
-import os
-import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the word rule: space and U+0009 to U+000D.
@@ -23,12 +21,14 @@ BROADCAST_ROWS = 200_000
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it.
 
-    Where that is unset (tests, one machine) a temporary folder is made and set.
+    Where that is unset, a session on one machine (master local) uses the warehouse's folder; on a
+    cluster there is no folder to guess, so that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
     return root.rstrip("/")
 
 
@@ -92,5 +92,11 @@ def clean_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-def local_tmp() -> str:
-    return os.environ.get("TMPDIR", tempfile.gettempdir())
+def boxed(df: DataFrame, **more: Column) -> DataFrame:
+    """All columns of df in one struct named row, beside working columns that cannot clash with them."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in more.items()])
+
+
+def unboxed(df: DataFrame) -> DataFrame:
+    """The columns that `boxed` put away."""
+    return df.select("row.*")

@@ -6,8 +6,9 @@ hosts by the method of moments, and each host gets its posterior mean rate. The
 joins back to its documents.
 
 Defined cases: null text counts as empty, fails the base rule and is not kept; a null host is a
-host of its own; repeated rows each count and each get a row; an empty table gives no rows; extra
-columns are ignored by `measure(...).select(...)` of named columns.
+host of its own; repeated rows each count and each get a row; an empty table gives no rows; very long texts are measured
+in their own row, in time linear in their length up to a sort; extra columns, whatever their names, are
+left out of the report and come back unchanged from `keep_quality`.
 """
 
 from __future__ import annotations
@@ -15,10 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_REGEX, WS_CHARS, join_dimension, materialize
+from .common import WORD_REGEX, WS_CHARS, boxed, join_dimension, materialize, unboxed
 
-#: A document's own rules, beside the base rule: share of symbols a word, of repeated lines, of
-#: shouted words and of bare separators among the words.
+#: A document's own rules, beside the base rule: symbols a word and repeated lines a word.
 MAX_SYMBOLS_PER_WORD = 0.1
 MAX_DUP_LINES_PER_WORD = 0.1
 #: Hosts: rejected if the posterior mean of their failure rate exceeds this.
@@ -159,7 +159,10 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with their columns."""
-    columns = docs.columns
-    measured = materialize(measure(docs), "quality-kept")
-    return apply_rules(measured).where("kept").select(*columns)
+    """The documents that the rules keep, with their columns.
+
+    Null and empty texts fail the base rule and go; repeated rows stay or go together; extra columns are
+    kept as they are, also where they are named like a measure; an empty table stays empty.
+    """
+    measured = measure(boxed(docs, source=F.col("source"), text=F.col("text"))).drop("text")
+    return unboxed(apply_rules(materialize(measured, "quality-kept")).where("kept"))
