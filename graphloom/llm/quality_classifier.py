@@ -162,18 +162,29 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_bytes: int = MAX_TRAIN_BYTES) -> Network:
+    """The network fitted to at most max_docs labelled documents of at most max_bytes bytes in all.
+
+    Only ids and lengths are read first; texts that would exceed the bound never reach the driver. Of
+    rows that share a doc_id the longest text stands for it.
+    """
     known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")
-    rows = rows.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    texts, marks, total = [], [], 0
-    for r in rows.toLocalIterator():  # max_docs rows at most
-        body = r["text"].encode()
-        if total + len(body) <= max_bytes:
-            texts.append(body)
-            marks.append(r["quality"])
-            total += len(body)
+    body = F.coalesce("text", F.lit(""))
+    sizes = docs.select("doc_id", F.octet_length(body).alias("n")).join(F.broadcast(some), "doc_id")
+    sizes = sizes.groupBy("doc_id").agg(F.max("n").alias("n"), F.first("quality").alias("quality"))
+    chosen, total = {}, 0
+    for r in sizes.orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # max_docs narrow rows at most
+        if total + r["n"] <= max_bytes:
+            chosen[r["doc_id"]] = (r["n"], r["quality"])
+            total += r["n"]
+    wanted = docs.sparkSession.createDataFrame([(k, n) for k, (n, _) in chosen.items()], "doc_id long, n int")
+    rows = docs.select("doc_id", body.alias("text")).join(F.broadcast(wanted), "doc_id").where(F.octet_length("text") == F.col("n"))
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id")
+    texts, marks = [], []
+    for r in rows.toLocalIterator():  # max_bytes at most
+        texts.append(r["text"].encode())
+        marks.append(chosen[r["doc_id"]][1])
     return fit(texts, np.array(marks))
 
 
