@@ -21,7 +21,7 @@ LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(30000))
 
 
 def _docs(spark, rows):
-    full = [(i, t, "en" if i % 2 else None, f"s{i % 3}" if i % 5 else None, len(t or "")) for i, t in rows]
+    full = [(i, t, "en" if (i or 0) % 2 else None, f"s{i % 3}" if (i or 0) % 5 else None, len(t or "")) for i, t in rows]
     df = spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long")
     return df.withColumns({"key": F.lit(1), "n": F.lit("clash"), "digest": F.lit("x"), "item_id": F.lit(-1)})
 
@@ -73,7 +73,9 @@ def test_keep_one_of_each(spark):
 @pytest.mark.parametrize("most", [20_000, 0])
 def test_contained_items_equal_brute_force(spark, most):
     docs = [(1, "x y z " + " ".join(PROSE[:20]) + " tail"), (2, " ".join(PROSE[3:30])), (3, "nothing here to see at all"), *EDGE]
-    items = [(10, " ".join(PROSE[:14])), (11, " ".join(PROSE[5:25]).upper()), (12, "a b c d e"), (13, "one"), (14, None), (15, "")]
+    docs += [(None, " ".join(PROSE)), (1, "nothing of note in this other text"), (4, f"{LONG} {' '.join(PROSE)}")]
+    items = [(10, " ".join(PROSE[:14])), (11, " ".join(PROSE[5:25]).upper()), (12, "a b c d e"), (13, "one"), (14, None), (15, ""), (None, " ".join(PROSE[2:9]))]
+    items += [(10, " ".join(PROSE[20:])), (12, "a b c d e"), (16, " ".join(PROSE * 2)), (17, " ".join(LONG.split()[500:900]))]
     want = Counter()
     for d, t in docs:
         for i, u in items:
@@ -84,6 +86,10 @@ def test_contained_items_equal_brute_force(spark, most):
     assert Counter((r.doc_id, r.item_id) for r in got) == want
     assert decontaminate.contained_items(_docs(spark, docs).limit(0), b).count() == 0
     assert decontaminate.contained_items(_docs(spark, docs), b.limit(0)).count() == 0
+    dirty = {(d, t) for d, t in docs for _, u in items if _set(u) and 100 * len(_set(u) & _set(t)) >= 75 * len(_set(u))}
+    kept = decontaminate.drop_contaminated(_docs(spark, docs), b, max_broadcast=most)
+    assert kept.columns == _docs(spark, docs).columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(x for x in docs if x not in dirty)
 
 
 def _measures(t):
@@ -103,8 +109,12 @@ def test_quality_measures_equal_brute_force(spark):
     assert all(r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) for r in got)
     assert not any(r.kept for r in got if r.base_failed)
     assert quality_rules.quality_rules(_docs(spark, rows).limit(0)).count() == 0
-    kept = quality_rules.keep_quality(_docs(spark, rows))
+    clash = {c: F.lit("mine") for c in ("n_words", "base_failed", "kept", "host_rate", "host_rejected", "_found", "_host", "row")}
+    docs = _docs(spark, rows).withColumns(clash)
+    kept = quality_rules.keep_quality(docs)
+    assert kept.columns == docs.columns and all(r[c] == "mine" for r in kept.collect() for c in clash)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in got if r.kept)
+    assert quality_rules.keep_quality(docs.limit(0)).count() == 0
 
 
 def test_bad_host_rejects_its_documents(spark):
@@ -160,6 +170,48 @@ def test_pii_method_spans_and_redaction(spark):
     assert out[2].text == "call 123-45-6789" and out[3].text is None
 
 
+def test_pii_of_a_text_with_many_matches(spark):
+    n = 30_000
+    text = "é " + " ".join(f"u{i}@host.example.com 10.0.0.{i % 300}" for i in range(n))
+    docs = spark.createDataFrame([(1, text, "mine", "also")], "doc_id long, text string, _spans string, row string")
+    r = pii.pii_report(docs).first()
+    assert (r.n_email, r.n_ip) == (n, sum(i % 300 <= 255 for i in range(n)))
+    assert r.base_sha256 == hashlib.sha256(_base(text).encode()).hexdigest()
+    out = pii.redact(docs).first()
+    assert (out["_spans"], out["row"]) == ("mine", "also")
+    assert out.text == "é " + " ".join(f"[EMAIL] {'[IP]' if i % 300 <= 255 else f'10.0.0.{i % 300}'}" for i in range(n))
+
+
+def test_pii_context_lowers_a_score(spark):
+    rows = [(1, "card 4539578763621486"), (2, "order 4539578763621486"), (3, "x 4539578763621486"), (4, "serial 536-22-1234 ssn"), (5, "serial 536-22-1234")]
+    got = {r.doc_id: r for r in pii.pii_report(_docs(spark, rows)).collect()}
+    assert got[1].max_score > got[3].max_score > got[2].max_score and all(got[i].n_card == 1 for i in (1, 2, 3))
+    assert got[4].spans and not got[5].spans
+    assert pii.pii_report(_docs(spark, rows).limit(0)).count() == 0
+
+
+def test_added_kinds_equal_brute_force(spark):
+    """IBANs and id numbers against regular expressions and a plain mod-97."""
+    rng = np.random.default_rng(6)
+
+    def iban(ok):
+        body = "".join(rng.choice(list("0123456789"), 16))
+        check = 98 - int(body + "1314" + "00") % 97  # country code DE
+        return f"DE{check if ok else (check + 1) % 90 + 2:02d}{body}"
+
+    rows = [(i, f"{'ssn' if i % 2 else 'no'} {''.join(rng.choice(list('0123456789'), 3))}-12-3456 and {iban(i % 3 > 0)}.") for i in range(60)]
+    got = {r.doc_id: r.spans for r in pii.pii_report(_docs(spark, rows)).collect()}
+    for i, t in rows:
+        want = []
+        for m in re.finditer(r"DE\d{18,}", t):
+            if int(m[0][4:] + "1314" + m[0][2:4]) % 97 == 1:
+                want.append((m.start(), f"iban:{m.start()}:{m.end()}"))
+        if i % 2:
+            m = re.search(r"\d{3}-12-3456", t)
+            want.append((m.start(), f"idnum:{m.start()}:{m.end()}"))
+        assert [x for x in got[i].split(",") if x.startswith(("iban", "idnum"))] == [x for _, x in sorted(want)], t
+
+
 def test_iban_before_capital_words(spark):
     iban = "AT61 1904 3002 3457 3201"
     rows = [(k, " ".join([iban, *"PAID FROM BANK".split()[:k]])) for k in range(4)]
