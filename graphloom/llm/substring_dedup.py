@@ -1,29 +1,28 @@
-"""Operator 7, substring dedup: repeated passages of MIN_WORDS words or more, found exactly.
+"""Operator 7, substring dedup: content-defined chunks find repeated passages of MIN_WORDS words or more.
 
 A passage is a run of whole words with the white space between them, equal byte by byte. Every window
 of MIN_WORDS words that occurred before is found:
 
-1. Seeds: a gear rolling hash over the words gives each window of SEED words a number, and of all
-   seeds inside a window of MIN_WORDS words the one with the least number is taken. The choice depends
-   on the window alone, so two copies of it take the same seed: none is missed. About one word in ten
-   begins a seed. Seeds with one digest in two places are shared.
-2. Overlapping seeds whose first holders (smallest doc_id, then position) lie in one other text at one
-   distance show that the text between them is that text's: such a span is repeated as it stands.
-3. Windows: all other windows of MIN_WORDS words around a shared seed are digested. Of windows with one
-   digest the first is kept; the others repeat it. The first copy of a window is never in a span of
-   step 2, so none is missed. A window that overlaps its own first occurrence is no repeat of it.
+1. Chunks: a gear hash rolls over the words, and a chunk ends before each place whose hash of the
+   next GEAR_WORDS words falls below a threshold (one word in AVERAGE). Places depend on those words
+   alone, so an insertion shifts no other boundary, and a copy of a passage has the same chunks as the
+   passage but for its ends. A chunk is digested up to the last word its two boundaries depend on.
+   Chunks with one digest in two places are shared.
+2. Neighbouring shared chunks whose first holders (smallest doc_id, then position) lie in one other text
+   at one distance show that the text between them is that text's: such a span is repeated as it stands.
+3. Windows: a window that holds a chunk which is not shared cannot be a copy. All other windows of
+   MIN_WORDS words are digested, also the few that hold no whole chunk. Of windows with one digest the
+   first is kept; the others repeat it. The first copy of a window is never in a span of step 2, so none
+   is missed. A window that overlaps its own first occurrence is no repeat of it.
 4. Overlapping repeated spans and windows of a document form one run.
 
-Hot digests are pre-aggregated map-side to (digest, first holder); the join back to the windows is an
+Hot digests are pre-aggregated map-side to (digest, first holder); the join back to the chunks is an
 equi-join that AQE splits where a digest is hot.
 
-`chunks` cuts texts by content: a boundary follows each byte at which the gear hash of the last 32
-bytes falls below a threshold. Chunks average AVERAGE bytes; one of MAX_CHUNK bytes without a boundary
-is cut there. A short passage may hold no boundary, so runs do not rest on them.
-
 Defined cases: texts of fewer than MIN_WORDS words, null and empty ones have no windows; repeats
-inside one text count, the first stays; repeated rows (equal doc_id and text) share positions, so they
-repeat only other documents; an empty table gives no rows.
+inside one text count, the first stays; a null doc_id is an id like any other and sorts first; of rows
+with one doc_id, equal texts share positions, so they repeat only other documents, and different texts
+are told apart; extra columns are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,102 +36,34 @@ from pyspark.sql import functions as F
 from .common import byte_slices, materialize, release, text_buffers
 from .wordhash import mix, words
 
-AVERAGE = 48
-MAX_CHUNK = 2048
 MIN_WORDS = 50
-SEED = 32
-WINDOW = 32
-#: The gear: a 32-bit number for each byte, from a rule.
-GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
-
-_CHUNKS = "doc_id long, start long, end long, n_words int, digest binary"
-
-
-def gear_hash(data: np.ndarray) -> np.ndarray:
-    """h[i] = sum of GEAR[data[i - j]] << j for j < 32, modulo 2**32, by doubling."""
-    h = GEAR[data]
-    step = 1
-    while step < WINDOW:
-        more = np.zeros_like(h)
-        more[step:] = h[:-step] << np.uint32(step)
-        h = h + more
-        step *= 2
-    return h
+#: Words that a boundary depends on (a power of two), and words a chunk on average.
+GEAR_WORDS = 4
+AVERAGE = 8
 
+_CHUNKS = "doc_id long, tag long, start long, end long, digest binary"
 
-def chunk_ends(data: np.ndarray, offsets: np.ndarray, average: int = AVERAGE, most: int = MAX_CHUNK) -> np.ndarray:
-    """Sorted ends of all chunks; every text's end is one. The first bytes of a text see the hash of
-    a window that reaches into the text before, so they never end a chunk."""
-    h = gear_hash(data)
-    cut = np.flatnonzero(h < np.uint32((1 << 32) // average)) + 1
-    text = np.searchsorted(offsets, cut - 1, "right") - 1
-    cut = cut[cut - offsets[text] >= WINDOW]
-    ends = np.unique(np.concatenate([cut, offsets[1:][np.diff(offsets) > 0]]))
-    starts = np.concatenate([[0], ends[:-1]])
-    long = np.flatnonzero(ends - starts > most)
-    if len(long):
-        more = [np.arange(starts[i] + most, ends[i], most) for i in long]
-        ends = np.unique(np.concatenate([ends, *more]))
-    return ends
-
-
-_WORD_START = np.ones(256, bool)
-_WORD_START[[0x20, *range(0x09, 0x0E)]] = False
-
-
-def chunks(docs: DataFrame, average: int = AVERAGE) -> DataFrame:
-    """doc_id, start, end (bytes of the UTF-8 text), n_words begun in it, digest of each chunk."""
 
-    def run(batches):
-        for whole in batches:
-            for b in byte_slices(whole, "text"):
-                data, offsets = text_buffers(b.column("text"))
-                if not len(data):
-                    continue
-                ends = chunk_ends(data, offsets, average)
-                starts = np.concatenate([[0], ends[:-1]])
-                row = np.searchsorted(offsets, starts, "right") - 1
-                ink = _WORD_START[data]
-                fresh = ink.copy()
-                fresh[1:] &= ~ink[:-1]
-                before = np.concatenate([[0], np.cumsum(fresh)])
-                view = memoryview(data.tobytes())
-                digest = [xxhash.xxh3_128_digest(view[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-                ids = np.array(b.column("doc_id"))
-                yield pa.record_batch(
-                    [
-                        pa.array(ids[row], pa.int64()),
-                        pa.array(starts - offsets[row]),
-                        pa.array(ends - offsets[row]),
-                        pa.array((before[ends] - before[starts]).astype(np.int32)),
-                        pa.array(digest, pa.binary()),
-                    ],
-                    ["doc_id", "start", "end", "n_words", "digest"],
-                )
-
-    return docs.select("doc_id", "text").mapInArrow(run, _CHUNKS)
-
-
-def _seed_words(min_words: int) -> int:
-    """SEED, or the largest power of two that leaves a third of a shorter window to choose from."""
-    return min(SEED, 1 << (max(1, 2 * min_words // 3).bit_length() - 1))
-
-
-def seed_starts(doc: np.ndarray, word: np.ndarray, min_words: int) -> np.ndarray:
-    """Sorted indexes of the words that begin a seed: in each window of min_words words within one
-    text, the seed of least gear hash (the first of equal ones)."""
-    size = _seed_words(min_words)
-    if len(word) < min_words:
-        return np.zeros(0, np.int64)
+def gear(word: np.ndarray, size: int = GEAR_WORDS) -> np.ndarray:
+    """h[i] = sum of word[i + j] << j for j < size, modulo 2**64, by doubling; mixed."""
     h = word.copy()
     step = 1
     while step < size:
         h[:-step] += h[step:] << np.uint64(step)
         step *= 2
-    h = mix(h[: len(h) - size + 1])
-    whole = np.flatnonzero(doc[: len(doc) - min_words + 1] == doc[min_words - 1 :])
-    least = np.lib.stride_tricks.sliding_window_view(h, min_words - size + 1)[whole].argmin(axis=1)
-    return np.unique(whole + least)
+    return mix(h)
+
+
+def chunk_words(doc: np.ndarray, word: np.ndarray, average: int = AVERAGE) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, word after the last that its boundaries depend on) of each chunk between two
+    boundaries of one text."""
+    if len(word) <= GEAR_WORDS:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.flatnonzero((gear(word) < np.uint64((1 << 64) // average))[: len(word) - GEAR_WORDS + 1])
+    at = at[doc[at] == doc[at + GEAR_WORDS - 1]]
+    first, after = at[:-1], at[1:]
+    same = doc[first] == doc[after]
+    return first[same], after[same] + GEAR_WORDS
 
 
 def _digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -144,22 +75,22 @@ def _tagged(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tag"), "text")
 
 
-def seeds(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, tag (of the text, for ids that repeat), start (byte of the UTF-8 text), digest of each seed."""
-    size = _seed_words(min_words)
+def chunks(docs: DataFrame, average: int = AVERAGE) -> DataFrame:
+    """doc_id, tag (of the text, for ids that repeat), start, end (bytes of the UTF-8 text), digest of
+    each chunk."""
 
     def run(batches):
         for whole in batches:
             for b in byte_slices(whole, "text"):
                 data, offsets = text_buffers(b.column("text"))
                 start, end, doc, word = words(data, offsets, lower=False)
-                at = seed_starts(doc, word, min_words)
-                if len(at):
-                    s, row = start[at], doc[at]
+                first, after = chunk_words(doc, word, average)
+                if len(first):
+                    s, e, row = start[first], end[after - 1], doc[first]
                     own = [b.column(c).take(pa.array(row)) for c in ("doc_id", "tag")]
-                    yield pa.record_batch([*own, pa.array(s - offsets[row]), _digests(data, s, end[at + size - 1])], ["doc_id", "tag", "start", "digest"])
+                    yield pa.record_batch([*own, pa.array(s - offsets[row]), pa.array(e - offsets[row]), _digests(data, s, e)], ["doc_id", "tag", "start", "end", "digest"])
 
-    return _tagged(docs).mapInArrow(run, "doc_id long, tag long, start long, digest binary")
+    return _tagged(docs).mapInArrow(run, _CHUNKS)
 
 
 def _shared(rows: DataFrame, label: str, *columns: str) -> DataFrame:
@@ -171,98 +102,102 @@ def _shared(rows: DataFrame, label: str, *columns: str) -> DataFrame:
     return out
 
 
-def _spans(row, own, start, first_id, first_tag, first_start, at, size: int, min_words: int):
-    """Of seeds sorted by (row, start), at words `at`: (first word, word after the last, place among the
-    seeds) of each span of min_words words that repeats one other text."""
+def _spans(row, own, start, first_id, first_tag, first_start, at, to, min_words: int):
+    """Of shared chunks sorted by (row, start), of words `at` to `to`: (first word, word after the last,
+    place among the chunks) of each span of min_words words that repeats one other text."""
     known = np.array(first_id.is_valid()) & np.array(own.is_valid())
     keeper, own = np.array(first_id.fill_null(0)), np.array(own.fill_null(0))
     known &= keeper != own
     far = first_start - start
     new = np.ones(len(row), bool)
-    new[1:] = ~known[1:] | ~known[:-1] | (at[1:] - at[:-1] >= size)
+    new[1:] = ~known[1:] | ~known[:-1] | (at[1:] > to[:-1])
     for x in (row, keeper, first_tag, far):
         new[1:] |= x[1:] != x[:-1]
     lead = np.flatnonzero(new)
-    low, high = at[lead], at[np.append(lead[1:], len(row)) - 1] + size if len(row) else lead
+    low, high = at[lead], to[np.append(lead[1:], len(row)) - 1] if len(row) else lead
     keep = known[lead] & (high - low >= min_words)
     return low[keep], high[keep], lead[keep]
 
 
-def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, nth and last (first words of the first and last window of min_words words), start, end
-    (bytes): spans that repeat keeper_id, and single windows that hold a shared seed, with a digest."""
-    size, all_seeds = _seed_words(min_words), seeds(docs, min_words)
-    met = all_seeds.join(_shared(all_seeds, "substring-seeds", "tag", "start"), "digest")
+def windows(docs: DataFrame, min_words: int = MIN_WORDS, average: int = AVERAGE) -> DataFrame:
+    """doc_id, tag, nth and last (first words of the first and last window of min_words words), start, end
+    (bytes): spans that repeat keeper_id, and single windows without an unshared chunk, with a digest."""
+    every = chunks(docs, average).drop("end")
+    met = every.join(_shared(every, "substring-chunks", "tag", "start"), "digest")
     hit = F.struct("start", F.col("first.doc_id").alias("id"), F.col("first.tag").alias("tag"), F.col("first.start").alias("at"))
     hits = met.select(F.col("doc_id").alias("hit_id"), F.col("tag").alias("hit_tag"), hit.alias("hit")).groupBy("hit_id", "hit_tag").agg(F.array_sort(F.collect_set("hit")).alias("hits"))
     hits = materialize(hits, "substring-hits")
     release(docs.sparkSession)
-    names = ["doc_id", "nth", "last", "start", "end", "digest", "keeper_id"]
+    names = ["doc_id", "tag", "nth", "last", "start", "end", "digest", "keeper_id"]
 
     def run(batches):
         for whole in batches:
             for b in byte_slices(whole, "text"):
                 data, offsets = text_buffers(b.column("text"))
-                start, end, doc, _ = words(data, offsets, lower=False)
+                start, end, doc, word = words(data, offsets, lower=False)
                 n = len(start) - min_words + 1
                 if n < 1:
                     continue
+                first, after = chunk_words(doc, word, average)
                 hits = b.column("hits")
-                row = np.repeat(np.arange(b.num_rows), np.array(hits.value_lengths()))
+                row = np.repeat(np.arange(b.num_rows), np.array(hits.value_lengths().fill_null(0)))
                 byte, first_id, first_tag, first_start = hits.flatten().flatten()
-                byte, ids = np.array(byte), b.column("doc_id")
-                met = np.searchsorted(start, byte + offsets[row])
-                low, high, lead = _spans(row, ids.take(pa.array(row)), byte, first_id, np.array(first_tag), np.array(first_start), met, size, min_words)
+                byte, ids, tags = np.array(byte), b.column("doc_id"), b.column("tag")
+                nth = np.searchsorted(start[first], byte + offsets[row])  # the shared ones among all chunks
+                alone = np.ones(len(first), bool)
+                alone[nth] = False
+                low, high, lead = _spans(row, ids.take(pa.array(row)), byte, first_id, np.array(first_tag), np.array(first_start), first[nth], after[nth], min_words)
 
                 def cover(since, to, words_=len(start)):
                     change = np.zeros(words_ + 1, np.int64)
                     np.add.at(change, since, 1)
-                    np.add.at(change, to, -1)
+                    np.add.at(change, np.maximum(since, to), -1)
                     return np.cumsum(change)[: words_ - min_words + 1] > 0
 
                 def places(first, last, row):
                     begin = np.searchsorted(doc, row)
                     numbers = [first - begin, last - begin, start[first] - offsets[row], end[last + min_words - 1] - offsets[row]]
-                    return [ids.take(pa.array(row)), *[pa.array(x.astype(np.int32)) for x in numbers]]
+                    return [ids.take(pa.array(row)), tags.take(pa.array(row)), *[pa.array(x.astype(np.int32)) for x in numbers]]
 
                 if len(low):
                     more = [pa.nulls(len(low), pa.binary()), first_id.take(pa.array(lead))]
                     yield pa.record_batch([*places(low, high - min_words, doc[low]), *more], names)
-                near = cover(np.maximum(met - (min_words - size), 0), met + 1) & ~cover(low, high - min_words + 1)
-                at = np.flatnonzero(near & (doc[:n] == doc[min_words - 1 :]))
+                out = cover(np.maximum(after[alone] - min_words, 0), first[alone] + 1) | cover(low, high - min_words + 1)
+                at = np.flatnonzero(~out & (doc[:n] == doc[min_words - 1 :]))
                 if len(at):
                     more = [_digests(data, start[at], end[at + min_words - 1]), pa.nulls(len(at), pa.int64())]
                     yield pa.record_batch([*places(at, at, doc[at]), *more], names)
 
     mine = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("tag") == F.col("hit_tag"))
-    near = _tagged(docs).join(hits, mine).select("doc_id", "text", "hits")
-    return near.mapInArrow(run, "doc_id long, nth int, last int, start int, end int, digest binary, keeper_id long")
+    near = _tagged(docs).join(hits, mine, "left").select("doc_id", "tag", "text", "hits")
+    return near.mapInArrow(run, "doc_id long, tag long, nth int, last int, start int, end int, digest binary, keeper_id long")
 
 
-def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, nth, last, start, end of the spans and windows that repeat an earlier one, with its
+def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, average: int = AVERAGE) -> DataFrame:
+    """doc_id, tag, nth, last, start, end of the spans and windows that repeat an earlier one, with its
     holder: keeper_id."""
-    found = materialize(windows(docs, min_words), "substring-windows")
+    found = materialize(windows(docs, min_words, average), "substring-windows")
     release(docs.sparkSession)
     single = found.where("digest is not null").drop("keeper_id")
-    met = single.join(_shared(single, "substring-shared", "nth"), "digest")
-    met = met.where(~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("nth") >= F.col("first.nth") + min_words))
-    columns = ["doc_id", "nth", "last", "start", "end"]
+    met = single.join(_shared(single, "substring-shared", "tag", "nth"), "digest")
+    elsewhere = ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("tag") != F.col("first.tag"))
+    met = met.where(elsewhere | (F.col("nth") >= F.col("first.nth") + min_words))
+    columns = ["doc_id", "tag", "nth", "last", "start", "end"]
     return met.select(*columns, F.col("first.doc_id").alias("keeper_id")).unionByName(found.where("digest is null").select(*columns, "keeper_id"))
 
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, average: int = AVERAGE) -> DataFrame:
     """doc_id, start, end, n_words, keeper_ids (the distinct holders of the first occurrences)."""
-    rows = materialize(repeated_windows(docs, min_words), "substring-repeats")
+    rows = materialize(repeated_windows(docs, min_words, average), "substring-repeats")
     release(docs.sparkSession)
-    by_doc = Window.partitionBy("doc_id").orderBy("start")
+    by_doc = Window.partitionBy("doc_id", "tag").orderBy("start")
     before = F.max("end").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.coalesce(F.col("start") > before, F.lit(True)).cast("int")
     runs = rows.withColumn("_new", fresh).withColumn("_run", F.sum("_new").over(by_doc))
-    out = runs.groupBy("doc_id", "_run").agg(
+    out = runs.groupBy("doc_id", "tag", "_run").agg(
         F.min("start").cast("long").alias("start"),
         F.max("end").cast("long").alias("end"),
         (F.max("last") - F.min("nth") + min_words).cast("long").alias("n_words"),
         F.array_sort(F.collect_set("keeper_id")).alias("keeper_ids"),
     )
-    return out.drop("_run")
+    return out.drop("_run", "tag")

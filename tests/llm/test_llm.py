@@ -296,16 +296,26 @@ def test_repeated_runs_equal_brute_force(spark):
     assert len({r.doc_id for r in got}) == 123
 
 
-def test_chunks_cover_each_text(spark):
-    rows = [*_varied(3, 6), (980, "z" * 9000)]
-    got = defaultdict(list)
-    for r in substring_dedup.chunks(_docs(spark, [x for x in rows if x[0] != 905])).collect():
-        got[r.doc_id].append((r.start, r.end))
-    for d, t in rows:
-        if d != 905:
-            spans = sorted(got[d])
-            assert [s for s, _ in spans] == [0, *[e for _, e in spans[:-1]]][: len(spans)]
-            assert (spans[-1][1] if spans else 0) == len((t or "").encode())
+def test_repeats_of_odd_rows(spark):
+    """A null doc_id, and two texts under one id; a repeated row repeats nothing."""
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, f"a {passage}"), (5, f"{passage} b"), (5, f"c c {passage}"), (6, "x " * 20), (7, passage + " z"), (7, passage + " z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"tag": F.lit("mine"), "hits": F.lit(1), "digest": F.lit(2)})
+    got = sorted((r.doc_id, r.start, r.n_words, r.keeper_ids) for r in substring_dedup.repeated_runs(docs).collect())
+    assert [(d, s, n) for d, s, n, _ in got] == [(5, 0, 60), (5, 4, 60), (7, 0, 60)]
+    alone = spark.createDataFrame([rows[4], rows[4]], "doc_id long, text string")
+    assert substring_dedup.repeated_runs(alone).count() == 0
+
+
+def test_chunks_resist_insertions(spark):
+    """An insertion changes the chunks around it and no other."""
+    w = LONG.split()
+    rows = [(1, LONG), (2, " ".join(["new", "words", "in", "front", *w[:9000], "and", "inside", *w[9000:]])), (3, None), (4, "a b c")]
+    found = defaultdict(set)
+    for r in substring_dedup.chunks(_docs(spark, rows)).collect():
+        found[r.doc_id].add(bytes(r.digest))
+    assert set(found) == {1, 2} and len(found[1]) > 300
+    assert len(found[1] ^ found[2]) <= 8
 
 
 def test_warc_round_trip(spark, tmp_path):
