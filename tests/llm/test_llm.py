@@ -389,3 +389,28 @@ def test_token_counts_equal_the_encoder(spark):
     ids = tokens.encoder(tokens.default_vocabulary())([t or "" for _, t in rows])
     want = Counter((d, "byte_bpe_50k@1", len(x)) for (d, _), x in zip(rows, ids, strict=True)) + Counter((d, "words@1", len(WORD.findall(t or ""))) for d, t in rows)
     assert Counter((r.doc_id, r.tokenizer_version, r.n_tokens) for r in got) == want
+
+
+def test_rollup_of_all_kinds_of_deltas(spark, tmp_path):
+    """The totals equal those of a plain count; repeated commits and a lost writer change nothing."""
+    rows = _varied(7, 30)
+    docs = _docs(spark, rows)
+    want = Counter()
+    for r in docs.collect():
+        want[(r.source, r.lang, "n")] += 1
+        want[(r.source, r.lang, "t")] += len(WORD.findall(r.text or ""))
+    root = f"file://{tmp_path}/all"
+    got = token_rollup.rollup_documents(docs, root, {"words@1": None}).collect()
+    assert {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in got} == {(s, g): (n, want[(s, g, "t")]) for (s, g, k), n in want.items() if k == "n"}
+    again = token_rollup.rollup_documents(docs, root, {"words@1": None}).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+    roll = token_rollup.TokenRollup(spark, f"file://{tmp_path}/lost")
+    counts = token_rollup.count_tokens(docs, {"words@1": None})
+    mark = roll._mark
+    roll._mark = lambda *a: (_ for _ in ()).throw(OSError("lost"))
+    with pytest.raises(OSError):
+        roll.commit("b1", token_rollup.inserts(counts))
+    roll._mark = mark
+    assert roll.totals().count() == 0 and roll.commit("b1", token_rollup.inserts(counts)) and not roll.commit("b1", token_rollup.inserts(counts))
+    assert roll.totals().agg(F.sum("n_docs")).first()[0] == len(rows)
+    assert token_rollup.rollup_documents(docs.limit(0), None, {"words@1": None}).count() == 0
