@@ -1,18 +1,24 @@
 """Operator 6, WARC: a deterministic sharded writer, and its reader.
 
-Records are range-partitioned by page_id (cut points from an exact histogram of the payload bytes,
-of fixed size) and sorted, so the same pages always give the same files. A task writes its shard's
+Records are range-partitioned by page_id and sorted. A shard ends where the payload bytes of all pages
+up to it, in order of page_id, reach a multiple of SHARD_BYTES: narrow rows (id, size) are sorted by
+range, each range adds up its own bytes, and the ranges' totals place them. The cut points depend on
+the pages alone, however ids are spread, so the same pages always give the same files; their number
+grows with the bytes (2 million for 100 TB, 16 MB that every task reads). A task writes its shard's
 records, rolls to a new file by compressed size, regenerates headers and digests, and gives each
 file its final name only when it is whole. The manifest, written last, commits the set: readers open
-only the files that it lists, so files of lost or repeated tasks do no harm.
+only the files that it lists, so files of lost or repeated tasks do no harm, and their temporary files
+are swept after it.
 
 Of records with equal payloads that with the largest page_id is a response, the others are revisits
 that refer to it; payloads below `least_bytes` are all responses. Duplicates are found by a map-side
-aggregate on the digest, so a payload that a third of all pages hold is no hot key there.
+aggregate on the digest; the few rows that name a copied payload's winner are broadcast while their
+count allows it, else they meet the copies by a join whose hot digests AQE splits.
 
 Defined cases: null and empty html are an empty payload; a null url leaves the target out; of
-repeated rows (equal page_id and payload) the first is the response; a null page_id sorts first; an
-empty table writes a manifest without files.
+repeated rows (equal page_id and payload) the first is the response; a null page_id sorts first, and any
+64-bit id is allowed; one page above the size of a shard is a shard of its own; extra columns are left
+out; an empty table writes a manifest without files.
 """
 
 from __future__ import annotations
@@ -24,17 +30,18 @@ import re
 import uuid
 import zlib
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import join_dimension, materialize, scratch_path
 
 #: Raw bytes a shard should hold; compressed bytes at which a file is rolled.
 SHARD_BYTES = 48 << 20
 FILE_BYTES = 8 << 20
-HISTOGRAM = 4096
 #: Pages carry no time of their own; a fixed date keeps the files the same.
 DATE = "2000-01-01T00:00:00Z"
 LEAST_BYTES = 0
@@ -109,18 +116,26 @@ class _Files:
             self.out = None
 
 
-def _shards(sized: DataFrame, shard_bytes: int) -> tuple[int, int, list[int]]:
-    """Lowest id, ids a bucket, and the shard of each bucket, from HISTOGRAM buckets at most."""
-    ends = sized.agg(F.min("page_id").alias("low"), F.max("page_id").alias("high")).first()
-    low = ends["low"] or 0
-    width = max(1, -(-((ends["high"] or 0) - low + 1) // HISTOGRAM))
-    rows = sized.groupBy(F.coalesce(F.floor((F.col("page_id") - low) / width), F.lit(0)).cast("int").alias("bucket"))
-    held = {r["bucket"]: r["bytes"] for r in rows.agg(F.sum(F.col("n") + 512).alias("bytes")).collect()}
-    out, total = [], 0
-    for k in range(HISTOGRAM):
-        out.append(total // shard_bytes)
-        total += held.get(k, 0)
-    return low, width, out
+def _cuts(sized: DataFrame, shard_bytes: int) -> np.ndarray:
+    """The lowest page_id of each shard but the first, sorted: the ids at which the bytes before them
+    pass a multiple of shard_bytes."""
+    ranged = sized.select("page_id", (F.col("n") + 512).alias("n")).where("page_id is not null").groupBy("page_id").agg(F.sum("n").alias("n"))
+    ranged = materialize(ranged.repartitionByRange("page_id").withColumn("part", F.spark_partition_id()), "warc-sizes")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy("part").agg(F.sum("n").alias("n")).withColumn("since", F.coalesce(F.sum("n").over(before), F.lit(0)))  # a row a partition
+    inside = Window.partitionBy("part").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(parts.select("part", "since")), "part")
+    shard = F.floor((F.col("since") + F.col("inside")) / shard_bytes).alias("shard")
+    firsts = placed.groupBy(shard).agg(F.min("page_id").alias("page_id")).where("shard > 0")
+    return np.sort(np.array([r["page_id"] for r in firsts.select("page_id").collect()], np.int64))  # total bytes / shard_bytes
+
+
+def _sweep(folder: str) -> None:
+    """Remove the temporary files that lost tasks left behind."""
+    store, path = fs.FileSystem.from_uri(folder)
+    for f in store.get_file_info(fs.FileSelector(path)):
+        if f.is_file and f.base_name.startswith(".shard-"):
+            store.delete_file(f.path)
 
 
 def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES, least_bytes: int = LEAST_BYTES) -> DataFrame:
@@ -128,15 +143,22 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, fi
     spark = pages.sparkSession
     body = F.coalesce("html", F.lit(""))
     sized = pages.select("page_id", F.sha1(body.cast("binary")).alias("sha"), F.octet_length(body).cast("long").alias("n"))
+    sized = materialize(sized, "warc-sized")
     same = sized.where(F.col("n") >= least_bytes).groupBy("sha").agg(F.max("page_id").alias("winner"), F.count(F.lit(1)).alias("copies"))
-    notes = sized.where(F.col("n") >= least_bytes).join(same.where("copies > 1").drop("copies"), "sha").where("not (page_id <=> winner)")
-    low, width, shard_of = _shards(sized, shard_bytes)
-    bucket = F.coalesce(F.floor((F.col("page_id") - low) / width), F.lit(0)).cast("int")
+    same = materialize(same.where("copies > 1").drop("copies"), "warc-same")
+    notes = join_dimension(sized.where(F.col("n") >= least_bytes), same, ["sha"], "inner").where("not (page_id <=> winner)")
+    cuts = _cuts(sized, shard_bytes)
+    shared = spark.sparkContext.broadcast(cuts)
+
+    @F.pandas_udf("int")
+    def shard_of(page_id: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(shared.value, page_id.to_numpy(np.int64), "right").astype(np.int32))
+
     shape = [F.col("page_id"), F.col("url"), body.alias("html"), F.lit(None).cast("string").alias("sha"), F.lit(None).cast("long").alias("winner"), F.lit(1).alias("kind")]
     told = [F.col("page_id"), F.lit(None).cast("string").alias("url"), F.lit("").alias("html"), F.col("sha"), F.col("winner"), F.lit(0).alias("kind")]
     rows = pages.select(*shape).unionByName(notes.select(*told).distinct())
-    rows = rows.withColumn("shard", F.get(F.array(*[F.lit(x) for x in shard_of]), bucket))
-    rows = rows.repartitionById(shard_of[-1] + 1, "shard").sortWithinPartitions("page_id", "kind", "html", "url")
+    rows = rows.withColumn("shard", shard_of(F.coalesce("page_id", F.lit(-(1 << 63)))))
+    rows = rows.repartitionById(len(cuts) + 1, "shard").sortWithinPartitions("page_id", "kind", "html", "url")
     store, path = fs.FileSystem.from_uri(folder)
     store.create_dir(path, recursive=True)
 
@@ -166,6 +188,7 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, fi
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*files.done, strict=True), kinds, strict=True)], names)
 
     rows.mapInArrow(run, _MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
+    _sweep(folder)
     return spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
 
 
