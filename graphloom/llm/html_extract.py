@@ -1,21 +1,30 @@
 """Operator 10, HTML extraction: two-pass block rules.
 
-A page is cut into blocks at block-level tags. The first pass decides blocks by their container
-(menus, headers, footers, sidebars, notices, adverts, forms, comments; article and main), by link
-density, and, where no container speaks, by length and stop-word density. In the second pass
-ambiguous short blocks inherit the label of the nearest decided neighbours.
+A page is cut into blocks at block-level tags. Text in menus, headers, footers, sidebars, notices,
+adverts, forms and comments, by their tags and names, is set aside. The first pass then decides blocks by link
+density, and by length and stop-word density; in the second pass ambiguous short blocks inherit the
+label of the nearest decided neighbours.
+
+`article` and `main` are evidence that the text can outweigh. Where they hold TRUSTED of the prose, blocks
+outside them are boilerplate, and blocks inside are kept but for link lists and short blocks between
+these; elsewhere they only count for a block that the two passes leave open. A wrapper named like
+boilerplate does not take an article with it that holds most of the prose (`layout has-sidebar`), and a
+form around the whole page is no form.
 
 Character references are decoded, white space inside a block becomes one space, and the kept blocks
 are joined in page order by one space.
 
 Defined cases: null, empty and tag-only pages give the empty string; unclosed tags, comments and
-scripts run to the end of the page; repeated rows each get a row; an empty table gives no rows.
+scripts run to the end of the page, an unclosed link to the end of its paragraph or of the element it
+stands in; a null url stays null; repeated rows each get a row; extra columns are left out; very long
+pages take time linear in their length; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +38,7 @@ BLOCK_TAGS = set(
     "optgroup option p pre section summary table tbody td textarea tfoot th thead title tr ul".split()
 )
 # Elements whose content is never text of the page.
-RAW_TAGS = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "math", "textarea", "title", "xmp"}
+RAW_TAGS = {"script", "style", "template", "svg", "iframe", "canvas", "textarea", "title", "annotation", "annotation-xml"}
 # Containers of boilerplate.
 BAD_TAGS = {"nav", "footer", "aside", "form", "select", "button", "dialog", "menu", "head", "fieldset", "header"}
 GOOD_TAGS = {"article", "main"}
@@ -56,35 +65,59 @@ LINKS_HIGH = 0.2
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
 _TAG_LOOSE = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*+)>")
-_NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
+_HIDDEN_STYLE = re.compile(r"display\s*:\s*none", re.I)
 _CAMEL = re.compile(r"([a-z0-9])([A-Z])")
 _PARTS = re.compile(r"[^a-z0-9]+")
 _EDGE = re.compile(r"^\W+|\W+$")
+# A name that begins so tells of the layout, not of the element.
+LAYOUT_NAMES = {"has", "with", "without", "no", "not", "layout"}
+#: Share of a page's prose above which its articles are trusted to hold the main text.
+TRUSTED = 0.4
 
 
-def _named_bad(attributes: str) -> bool:
-    for m in _NAMED.finditer(attributes):
-        value = m[2] or m[3] or m[4] or ""
-        if BAD_NAMES.intersection(_PARTS.split(_CAMEL.sub(r"\1-\2", value).lower())):
+def _says_bad(attributes: str) -> bool:
+    """Whether an element is hidden, or a class, an id or a role names it as boilerplate."""
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or name == "style" and _HIDDEN_STYLE.search(value):
             return True
+        if name in ("class", "id", "role"):
+            for one in value.split():
+                parts = [x for x in _PARTS.split(_CAMEL.sub(r"\1-\2", one).lower()) if x]
+                if parts and parts[0] not in LAYOUT_NAMES and BAD_NAMES.intersection(parts):
+                    return True
     return False
 
 
+@dataclass
+class Block:
+    """Text, its share in links, the outermost article or main around it (0: none), whether boilerplate
+    holds that one."""
+
+    text: str
+    links: float
+    inside: int
+    doubted: bool
+
+
 class _Page:
-    """Blocks of one page: (text, share of it in links, label or None, inside article or main)."""
+    """The blocks of one page, built up tag by tag."""
 
     def __init__(self) -> None:
-        self.blocks: list[tuple[str, float, str | None, bool]] = []
-        self.open: list[tuple[str, str | None]] = []  # container tags with what they say
-        self.bad = self.good = self.links = 0
+        self.blocks: list[Block] = []
+        self.open: list[tuple[str, str | None]] = []  # open elements with what they say
+        self.bad = self.outer = 0  # boilerplate around the text: since the outermost article, and before it
+        self.inside = self.depth = self.articles = 0
+        self.link: tuple[int, bool] | None = None  # depth of an open link, and whether in a loose element
+        self.loose = False
         self.parts: list[str] = []
         self.linked: list[str] = []
 
     def text(self, raw: str) -> None:
         if not self.bad:
             self.parts.append(raw)
-            if self.links:
+            if self.link:
                 self.linked.append(raw)
 
     def end_block(self) -> None:
@@ -92,31 +125,49 @@ class _Page:
             text = " ".join(html.unescape("".join(self.parts)).split())
             if text:
                 linked = len("".join(html.unescape("".join(self.linked)).split())) if self.linked else 0
-                self.blocks.append((text, linked / max(1, len(text) - text.count(" ")), None, self.good > 0))
+                share = linked / max(1, len(text) - text.count(" "))
+                self.blocks.append(Block(text, share, self.inside, self.inside > 0 and self.outer > 0))
             self.parts, self.linked = [], []
 
-    def start(self, tag: str, attributes: str) -> None:
+    def end_loose(self) -> None:
+        """A paragraph, list item or cell ends; so does a link left open in it."""
+        if self.link and self.link[1]:
+            self.link = None
+        self.loose = False
+
+    def start(self, tag: str, attributes: str, forms: bool) -> None:
         says = None
-        if tag not in ("html", "body"):
-            if tag in BAD_TAGS and not (tag == "header" and self.good):
-                says = "bad"
-            elif attributes and (_HIDDEN.search(attributes) or tag not in GOOD_TAGS and _named_bad(attributes)):
-                says = "bad"
-            elif tag in GOOD_TAGS:
-                says = "good"
         if tag == "body":  # a head that was never closed ends here
-            self.open, self.bad, self.good = [], 0, 0
+            self.open, self.bad, self.outer, self.inside, self.depth = [], 0, 0, 0, 0
+        elif tag in GOOD_TAGS:
+            says = "good"
+            self.depth += 1
+            if self.depth == 1:
+                self.articles += 1
+                self.inside, self.outer, self.bad = self.articles, self.bad + (bool(attributes) and _says_bad(attributes)), 0
+        elif tag == "noscript":
+            says = None if self.inside else "bad"
+        elif tag in BAD_TAGS and not (tag == "header" and self.inside) and not (tag == "form" and not forms):
+            says = "bad"
+        elif tag != "html" and attributes and _says_bad(attributes):
+            says = "bad"
         self.open.append((tag, says))
         self.bad += says == "bad"
-        self.good += says == "good"
 
     def end(self, tag: str) -> None:
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
-                for _, says in self.open[i:]:
-                    self.bad -= says == "bad"
-                    self.good -= says == "good"
-                del self.open[i:]
+                while len(self.open) > i:
+                    _, says = self.open.pop()
+                    if says == "bad":
+                        self.bad -= 1
+                    elif says == "good":
+                        self.depth -= 1
+                        if not self.depth:
+                            own = sum(x == "bad" for _, x in self.open)
+                            self.inside, self.outer, self.bad = 0, 0, own
+                if self.link and self.link[0] > len(self.open):
+                    self.link = None
                 return
 
 
@@ -125,10 +176,12 @@ VOID_TAGS = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link",
 LOOSE_TAGS = {"p", "li", "dd", "dt", "tr", "td", "th", "option"}
 
 
-def parse(page: str) -> list[tuple[str, float, str | None, bool]]:
-    """The blocks of a page that no boilerplate container holds."""
+_CLOSERS = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW_TAGS}
+
+
+def parse(page: str, forms: bool = True) -> list[Block]:
+    """The blocks of a page that no boilerplate container holds; forms: whether a form is one."""
     p, at, n = _Page(), 0, len(page)
-    lowered: str | None = None
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -157,56 +210,72 @@ def parse(page: str) -> list[tuple[str, float, str | None, bool]]:
         closing, tag, attributes = m[1], m[2].lower(), m[3]
         if tag in RAW_TAGS and not closing:
             if not attributes.endswith("/"):
-                if lowered is None:
-                    lowered = page.lower()
-                    if len(lowered) != n:  # some letters change length: search as it stands
-                        lowered = page
-                end = lowered.find(f"</{tag}", at)
-                gt = page.find(">", end) if end >= 0 else -1
+                closer = _CLOSERS[tag].search(page, at)
+                gt = page.find(">", closer.end()) if closer else -1
                 at = n if gt < 0 else gt + 1
             p.text(" ")
         elif tag == "br":
             p.text(" ")
         elif tag == "a":
-            p.links = 0 if closing else 1
+            p.link = None if closing else (len(p.open), p.loose)
         elif tag in BLOCK_TAGS or tag in BAD_TAGS or tag in GOOD_TAGS:
             p.end_block()
             if tag == "hr" or tag in VOID_TAGS:
                 continue
             if closing:
+                p.end_loose()
                 p.end(tag)
             elif tag in LOOSE_TAGS:
-                if attributes and (_HIDDEN.search(attributes) or _named_bad(attributes)):
-                    p.start(tag, attributes)
+                p.end_loose()
+                p.loose = True
+                if attributes and _says_bad(attributes):
+                    p.start(tag, attributes, forms)
             else:
-                p.start(tag, attributes)
-        elif attributes and not closing and tag not in VOID_TAGS and (_HIDDEN.search(attributes) or _named_bad(attributes)):
-            p.start(tag, attributes)
+                p.start(tag, attributes, forms)
+        elif not closing and tag not in VOID_TAGS and (tag == "noscript" or attributes and _says_bad(attributes)):
+            p.start(tag, attributes, forms)
         elif closing:
             p.end(tag)
     p.end_block()
     return p.blocks
 
 
-def _first_pass(text: str, links: float, inside: bool) -> str:
-    """good, bad, near (long enough to speak, but not clearly) or short."""
-    if inside:
-        return "bad" if links > 0.5 else "good"
+def _stop_density(text: str) -> float:
+    words = [_EDGE.sub("", w).lower() for w in text.split()]
+    return sum(w in STOP_WORDS for w in words) / len(words)
+
+
+def _first_pass(block: Block, trusted: bool) -> str:
+    """good, bad, near (long enough to speak, but not clearly), short, or lean: short, in a trusted
+    article."""
+    text, links = block.text, block.links
+    if trusted:
+        if links > 0.5:
+            return "bad"
+        return "lean" if len(text) < SHORT else "good"
     if links > LINKS_HIGH:
         return "bad"
     if len(text) < SHORT:
         return "bad" if links else "short"
-    words = [_EDGE.sub("", w).lower() for w in text.split()]
-    density = sum(w in STOP_WORDS for w in words) / len(words)
+    density = _stop_density(text)
     if density >= STOP_HIGH:
         return "good" if len(text) > LONG else "near"
-    return "near" if density >= STOP_LOW else "bad"
+    return "near" if density >= STOP_LOW or block.inside else "bad"
 
 
-def classify(blocks: list[tuple[str, float, str | None, bool]]) -> list[bool]:
+def classify(blocks: list[Block]) -> list[bool]:
     """Whether each block belongs to the main text."""
-    has_article = any(b[3] for b in blocks)
-    labels = ["bad" if has_article and not b[3] else b[2] or _first_pass(b[0], b[1], b[3]) for b in blocks]
+    prose: dict[int, float] = {}
+    for b in blocks:
+        if len(b.text) >= SHORT:
+            prose[b.inside] = prose.get(b.inside, 0.0) + len(b.text) * (1 - b.links)
+    doubted = {b.inside for b in blocks if b.doubted and 2 * prose.get(b.inside, 0.0) <= sum(prose.values())}
+    for x in doubted:
+        prose.pop(x, None)
+    outside, held = prose.pop(0, 0.0), sum(prose.values())
+    articles = {b.inside for b in blocks if b.inside and b.inside not in doubted}
+    trust = bool(articles) and held >= TRUSTED * (held + outside)
+    labels = ["bad" if b.inside in doubted or trust and not b.inside else _first_pass(b, trust) for b in blocks]
     decided = [i for i, x in enumerate(labels) if x in ("good", "bad")]
     out, k = [], 0
     for i, x in enumerate(labels):
@@ -219,18 +288,25 @@ def classify(blocks: list[tuple[str, float, str | None, bool]]) -> list[bool]:
         after = decided[k] if k < len(decided) else None
         if before is None and after is None:  # nothing on the page speaks against it
             out.append(True)
+        elif x == "lean":  # only between two link lists of the same article
+            beside = [before, after]
+            out.append(not all(y is not None and labels[y] == "bad" and blocks[y].inside == blocks[i].inside for y in beside))
         elif before is None or after is None:
             out.append(labels[after if before is None else before] == "good")
         elif labels[before] == labels[after] or i - before != after - i:
             out.append(labels[before if i - before <= after - i else after] == "good")
         else:
-            out.append(x == "near")
+            out.append(True)  # between main text and boilerplate, equally near: a heading or a last line
     return out
 
 
 def main_text(page: str | None) -> str:
     blocks = parse(page or "")
-    return " ".join(b[0] for b, keep in zip(blocks, classify(blocks), strict=True) if keep)
+    if not blocks and page and "<form" in page.lower():
+        blocks = [b for b in parse(page, forms=False)]
+        if not any(len(b.text) > LONG and _stop_density(b.text) >= STOP_HIGH for b in blocks):
+            blocks = []
+    return " ".join(b.text for b, keep in zip(blocks, classify(blocks), strict=True) if keep)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -332,6 +332,36 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_shards_follow_the_bytes(spark, tmp_path):
+    """Outlying ids change no shard but their own; the ends of the 64-bit range are ids as well."""
+    rows = [(i * 3, "u", f"{i} " + "x" * 400) for i in range(1500)]
+    odd = [(10**12, "u", "far"), (2**63 - 1, "u", "last"), (-(2**63), "u", "first"), (None, "u", "none")]
+    shards = []
+    for k, some in enumerate((rows, rows + odd)):
+        pages = spark.createDataFrame(some, "page_id long, url string, html string")
+        made = warc.write_warc(pages, f"file://{tmp_path}/s{k}", shard_bytes=50_000).collect()
+        assert sum(r.records for r in made) == len(some)
+        shards.append(Counter(r.shard for r in made))
+        assert max(r.records for r in made) < 80
+        back = warc.read_warc(spark, f"file://{tmp_path}/s{k}").collect()
+        want = {i: hashlib.sha1(h.encode()).digest() for i, _, h in some}
+        assert {r.page_id: r.payload_digest for r in back} == {i: warc.base64.b32encode(d).decode() for i, d in want.items()}
+    assert len(shards[0]) > 20 and abs(len(shards[1]) - len(shards[0])) <= 2
+
+
+def test_warc_records_equal_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(i), f"http://h/{i}", None if x == 0 else "é" * int(x)) for i, x in enumerate(rng.integers(0, 60, 300))]
+    got = {r.page_id: r for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    last = {}
+    for i, _, h in rows:
+        last[h or ""] = i
+    for i, url, h in rows:
+        data, r = (h or "").encode(), got[i]
+        assert (r.url, r.payload_bytes, r.payload_digest) == (url, len(data), warc.digest32(data))
+        assert (r.record_type, r.refers_to) == (("response", None) if last[h or ""] == i else ("revisit", last[h or ""]))
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [
@@ -345,6 +375,52 @@ def test_main_text(page, text):
     assert html_extract.main_text(page) == text
 
 
+_TALK = "The cat and the dog are in the house with a lot of food, and they will not go out for the rest of the day because it is cold. " * 3
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div class='layout has-sidebar'><article><p>{t}</p></article></div>", "{t}"),
+        ("<div class='page-sidebar'><article><p>{t}</p></article></div>", "{t}"),
+        ("<article><p>İ</p><SCRIPT>x</SCRIPT><p>{t}</p></article>", "İ {t}"),
+        ("<article><p><a href=x>open link<p>{t}</p><p>{t}</p></article>", "{t} {t}"),
+        ("<article><a href=x><div><p>{t}</p></div></a><p>{t}</p></article>", "{t}"),
+        ("<article><div class='hidden md:block'><p>{t}</p></div><p title='a hidden word'>{t}</p><p hidden>no</p></article>", "{t} {t}"),
+        ("<div><p>{t}</p></div><article><a href=x>Buy this now.</a></article><footer>no</footer>", "{t}"),
+        ("<article><p>{t} <math><mi>x</mi><annotation>x</annotation></math><object>old</object></p></article>", "{t} x old"),
+        ("<form id=all><div><p>{t}</p></div></form>", "{t}"),
+        ("<form><p>Name</p><input></form>", ""),
+        ("<article><p>{t}</p></article><div class=comments><article class=comment><p>I like the dog and the cat of it.</p></article></div>", "{t}"),
+        ("<article><p>{t}</p><ul><li><a href=1>one</a></li></ul><p>Share</p><ul><li><a href=1>two</a></li></ul></article>", "{t}"),
+        ("<div><p>{t}</p><p>Short one.</p></div><div><a href=1>a list</a> <a href=2>of links</a></div><p>Tail.</p>", "{t} Short one."),
+        ("<main><nav>no</nav><article><header><h1>T</h1></header><p>x</p></article></main>", "T x"),
+    ],
+)
+def test_block_rules(page, text):
+    t = " ".join(_TALK.split())
+    assert html_extract.main_text(page.replace("{t}", t)) == text.replace("{t}", t)
+
+
+def test_extract_equals_the_generating_rule(spark):
+    """Random pages built from known articles and boilerplate: what is kept is the articles' text."""
+    rng = np.random.default_rng(12)
+    rows, want = [], {}
+    for i in range(120):
+        words = lambda n: " ".join(rng.choice(PROSE, n))
+        paragraphs = [words(int(rng.integers(3, 60))) for _ in range(int(rng.integers(1, 6)))] + [words(60)]
+        body = "".join(f"<p>{p.replace(' ', rng.choice([' ', '  ', chr(10)]))}</p>" for p in paragraphs)
+        junk = [f"<nav><a href=/>{words(3)}</a></nav>", f"<div class='cookie-notice'>{words(12)}</div>", f"<aside>{words(30)}</aside>", f"<footer>{words(9)}</footer>", f"<script>{words(4)}</script>", f"<form>{words(4)}</form>"]
+        rng.shuffle(junk)
+        rows.append((i, "u", f"<html><body>{''.join(junk[:3])}<{'article' if i % 2 else 'main'}><h1>T{i} &amp; co</h1>{body}</{'article' if i % 2 else 'main'}>{''.join(junk[3:])}</body></html>"))
+        want[i] = " ".join([f"T{i} & co", *paragraphs])
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got)
+    big = "<article>" + "<p>the long page of it all</p>" * 20_000 + "<div>" * 3000
+    assert len(html_extract.main_text(big)) == 20_000 * 24 - 1
+    assert html_extract.extract(spark.createDataFrame(rows[:1], "page_id long, url string, html string").limit(0)).count() == 0
+
+
 def test_extract_columns(spark):
     pages = spark.createDataFrame([(1, None, "<p>hello there</p>"), (2, "u", None)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     assert sorted(tuple(r) for r in html_extract.extract(pages).collect()) == [(1, None, "hello there", 11), (2, "u", "", 0)]
