@@ -16,13 +16,18 @@ Jaccard distance d(x, y) = 1 - |x & y| / |x | y| is a metric. Two documents link
    are all in one component are done; the others recurse while that shrinks them. In the last step
    the few members outside their cell's largest component meet the others through their windows.
 
+Shingles are 64-bit hashes of their words: two different shingles fall together with a chance of 2**-64 a
+pair, and a link is decided on the hashes.
+
 Members of a cell's largest component never meet each other, so a group of thousands of near copies
 costs a few distances a member. Links inside one component are left untested; they cannot change a
 component.
 
 Defined cases: null text, empty text and text without words have an empty set, n_shingles 0 and
 themselves as component; fewer than five words make one shingle; repeated rows each get a row and
-share a component; an empty table gives no rows.
+share a component; a null doc_id takes part and yields to any other as component_id; very long texts
+are sets like any other; extra columns are left out, and come back unchanged from `keep_one_of_each`; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,10 +35,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, join_dimension, materialize, release, text_buffers
+from .common import BROADCAST_ROWS, boxed, byte_slices, join_dimension, materialize, release, text_buffers, unboxed
 from .components import components
 from .wordhash import shingle_sets
 
@@ -56,9 +61,9 @@ def _key(values: np.ndarray, salt: int) -> int:
 
 
 def _survey(docs: DataFrame, salt: int) -> DataFrame:
-    """Rows (doc_id, n, digest, key, slices) of each document, and rows (bucket, hits) of the shingle
+    """Rows (doc_id, tag, n, digest, key, slices) of each document, and rows (bucket, hits) of the shingle
     counts."""
-    names = ["doc_id", "n", "digest", "key", "slices", "fine", "bucket", "hits"]
+    names = ["doc_id", "tag", "n", "digest", "key", "slices", "fine", "bucket", "hits"]
 
     def count(s: np.ndarray, size: int) -> np.ndarray:
         return np.minimum(np.bincount((s % np.uint64(size)).astype(np.int64), minlength=size), 127).astype(np.int8)
@@ -74,6 +79,7 @@ def _survey(docs: DataFrame, salt: int) -> DataFrame:
                 yield pa.record_batch(
                     [
                         b.column("doc_id").cast(pa.int64()),
+                        b.column("tag"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                         pa.array([_key(s, salt) if len(s) else None for s in sets], pa.int64()),
@@ -86,11 +92,11 @@ def _survey(docs: DataFrame, salt: int) -> DataFrame:
                 )
         at = np.flatnonzero(hits)
         none = pa.nulls(len(at), pa.int64())
-        empty = [none, none, pa.nulls(len(at), pa.binary()), none, *[pa.nulls(len(at), pa.list_(pa.int8()))] * 2]
+        empty = [none, none, none, pa.nulls(len(at), pa.binary()), none, *[pa.nulls(len(at), pa.list_(pa.int8()))] * 2]
         yield pa.record_batch([*empty, pa.array(at), pa.array(hits[at])], names)
 
-    shape = "doc_id long, n long, digest binary, key long, slices array<tinyint>, fine array<tinyint>, bucket long, hits long"
-    return docs.select("doc_id", "text").mapInArrow(run, shape)
+    shape = "doc_id long, tag long, n long, digest binary, key long, slices array<tinyint>, fine array<tinyint>, bucket long, hits long"
+    return docs.select("doc_id", F.xxhash64("text").alias("tag"), "text").mapInArrow(run, shape)
 
 
 def _levels(survey: DataFrame) -> np.ndarray:
@@ -189,12 +195,13 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select("a", "b", both.alias("inter"), (F.size("_x") + F.size("_y") - both).alias("uni"))
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of each document."""
+def _grouped(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, tag (of the text), n_shingles, component_id, group (a number of the component, null for
+    texts without words) of each document."""
     spark = docs.sparkSession
     for salt in range(16):  # 64-bit keys are told apart by their 128-bit digests; a clash takes a new salt
         survey = materialize(_survey(docs, salt), "jaccard-survey")
-        own = survey.where("bucket is null").select("doc_id", F.col("n").alias("n_shingles"), "digest", "key")
+        own = survey.where("bucket is null").select("doc_id", "tag", F.col("n").alias("n_shingles"), "digest", "key")
         heads = survey.where("key is not null").groupBy("digest", "key")
         heads = materialize(heads.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("slices").alias("slices"), F.first("fine").alias("fine")), "jaccard-heads")
         if heads.groupBy("key").count().where("count > 1").isEmpty():
@@ -232,25 +239,38 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         pairs = _with_minors(cells, percent) if last else _with_pivots(cells, percent)
 
     names = labels.join(heads.select("key", "doc_id"), "key").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = labels.join(names, "component").select("key", "component_id")
-    lone = heads.join(named, "key", "left_anti").select("key", F.col("doc_id").alias("component_id"))
+    named = labels.join(names, "component").select("key", "component_id", F.col("component").alias("group"))
+    lone = heads.join(named, "key", "left_anti").select("key", F.col("doc_id").alias("component_id"), F.col("key").alias("group"))
     out = own.join(named.unionByName(lone), "key", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "tag", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "group")
+
+
+def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of each document."""
+    return _grouped(docs, percent).drop("tag", "group")
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs without the documents whose component has a smaller doc_id; of rows that repeat both
-    doc_id and text one stays. Documents without words stay."""
-    found = materialize(jaccard_components(docs, percent).select("doc_id", "component_id"), "jaccard-components")
-    per_id = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("component_id").alias("low"), F.max("component_id").alias("high"))
-    per_id = materialize(per_id.where("rows > 1 or low <> doc_id"), "jaccard-kept")
-    gone = per_id.where("high <> doc_id").select("doc_id")
-    repeated = per_id.where("rows > 1 and high = doc_id").select("doc_id")
-    left = join_dimension(docs, gone, ["doc_id"], "left_anti")
-    if repeated.isEmpty():
-        return left.select(*docs.columns)
-    once = join_dimension(left, repeated, ["doc_id"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return join_dimension(left, repeated, ["doc_id"], "left_anti").unionByName(once).select(*docs.columns)
+    """docs with one document of each component, that with the smallest doc_id (a null one comes last); of
+    rows that repeat both doc_id and text one stays. Documents without words stay, all of them."""
+    found = materialize(_grouped(docs, percent).where("group is not null").select("doc_id", "tag", "group"), "jaccard-components")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
+    keepers = found.groupBy("group").agg(F.min(order).alias("keeper"))
+    told = found.join(keepers, "group").groupBy("doc_id", "tag").agg(
+        F.count(F.lit(1)).alias("copies"), F.first(F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("tag") == F.col("keeper.tag"))).alias("stays")
+    )
+    told = materialize(told.where("not stays or copies > 1").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "stays"), "jaccard-kept")
+    rows = boxed(docs, id=F.col("doc_id").cast("long"), tag=F.xxhash64("text"))
+
+    def match(some: DataFrame, how: str) -> DataFrame:
+        some = F.broadcast(some) if some.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else some
+        return rows.join(some, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag")), how)
+
+    repeated = told.where("stays").drop("stays")
+    left = match(told.drop("stays"), "left_anti")
+    if not repeated.isEmpty():
+        left = left.unionByName(match(repeated, "left_semi").dropDuplicates(["id", "tag"]))
+    return unboxed(left)
 
 
 def _in_window(percent: int) -> Column:
@@ -285,14 +305,25 @@ def _with_centres(cells: DataFrame) -> DataFrame:
     """The cells of two sets at least, each with its most central member as pivot.
 
     A set is central when its cells are large for its size: of a group of near copies, the text they
-    come from has all its shingles in the others' cells, and lies nearest to them.
+    come from has all its shingles in the others' cells, and lies nearest to them. What a cell needs to
+    know of all its members comes from map-side aggregates that are joined back, so that a cell with a
+    third of all sets is split like any hot join key; no window gathers it.
     """
-    span = Window.partitionBy("cell")
-    full = cells.withColumns({"_low": F.min("key").over(span), "_high": F.max("key").over(span), "_m": F.count(F.lit(1)).over(span)})
-    full = materialize(full.where("_low <> _high").drop("_low", "_high").distinct(), "jaccard-cells")
-    central = full.groupBy("key").agg(F.round(-F.sum(F.log2("_m")) / (F.first("n") / 4 + 1), 3).alias("order"))
-    ordered = full.drop("_m").join(central, "key")
-    return materialize(ordered.withColumn("pivot", F.min(F.struct("order", "key")).over(span)["key"]), "jaccard-cells")
+    sizes = cells.groupBy("cell").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count(F.lit(1)).alias("m"))
+    sizes = materialize(sizes.where("low <> high").select("cell", "m"), "jaccard-sizes")
+    release(cells.sparkSession)
+    full = materialize(cells.join(sizes, "cell").distinct(), "jaccard-cells")
+    release(cells.sparkSession)
+    central = full.groupBy("key").agg(F.round(-F.sum(F.log2("m")) / (F.first("n") / 4 + 1), 3).alias("order"))
+    ordered = materialize(full.drop("m").join(central, "key"), "jaccard-ordered")
+    return _with_pivot(ordered, ordered)
+
+
+def _with_pivot(cells: DataFrame, among: DataFrame) -> DataFrame:
+    """cells with the most central of `among` in each cell as pivot."""
+    best = among.groupBy("cell").agg(F.min(F.struct("order", "key")).alias("_best"))
+    joined = cells.join(best.select("cell", F.col("_best.key").alias("pivot")), "cell")
+    return materialize(joined, "jaccard-cells")
 
 
 def _remaining(cells: DataFrame, told: DataFrame | None, labels: DataFrame) -> DataFrame:
@@ -306,9 +337,10 @@ def _remaining(cells: DataFrame, told: DataFrame | None, labels: DataFrame) -> D
         d = told.select(F.col("a").alias("pivot"), F.col("b").alias("key"), (1 - F.col("inter") / F.col("uni")).alias("d"))
         keep = keep.join(d, ["pivot", "key"], "left")
     keep = keep.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    span = Window.partitionBy("cell")
-    keep = keep.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("cell", "component")))
-    keep = keep.withColumns({"_top": F.max(F.struct("_n", "component")).over(span), "_all": F.count(F.lit(1)).over(span)})
-    keep = keep.where(F.col("_top._n") < F.col("_all")).withColumn("major", F.col("_top.component") == F.col("component"))
-    keep = keep.withColumn("pivot", F.min(F.when(F.col("major"), F.struct("order", "key"))).over(span)["key"])
-    return materialize(keep.select("cell", "key", "n", "at", "order", "d", "component", "pivot", "major"), "jaccard-cells")
+    keep = materialize(keep.select("cell", "key", "n", "at", "order", "d", "component"), "jaccard-kept-cells")
+    held = keep.groupBy("cell", "component").agg(F.count(F.lit(1)).alias("m"))
+    tops = held.groupBy("cell").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("all"))
+    tops = tops.where("top.m < all").select("cell", F.col("top.component").alias("_top"))
+    keep = keep.join(tops, "cell").withColumn("major", F.col("_top") == F.col("component")).drop("_top")
+    keep = materialize(keep, "jaccard-split-cells")
+    return _with_pivot(keep, keep.where("major"))

@@ -68,6 +68,12 @@ def test_keep_one_of_each(spark):
     kept = jaccard_join.keep_one_of_each(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 900, 901, 902]
+    odd = [(None, " ".join(PROSE)), (7, " ".join(PROSE)), (8, "one text under an id of its own"), (8, " ".join([*PROSE, "more"])), (None, "a text without any id"), (None, None), (None, None)]
+    docs = spark.createDataFrame(odd, "doc_id long, text string").withColumns({c: F.lit("mine") for c in ("id", "tag", "row", "stays", "group", "component_id")})
+    kept = jaccard_join.keep_one_of_each(docs).collect()
+    want = [odd[1], odd[2], odd[4], odd[5], odd[6]]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept))) == sorted(map(str, want)) and all(r.stays == r.row == "mine" for r in kept)
+    assert jaccard_join.keep_one_of_each(docs.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("most", [20_000, 0])
