@@ -41,7 +41,8 @@ MIN_WORDS = 50
 GEAR_WORDS = 4
 AVERAGE = 8
 
-_CHUNKS = "doc_id long, tag long, start long, end long, digest binary"
+_CHUNKS = "doc_id long, tag int, start int, end int, h1 long, h2 long"
+DIGEST = ["h1", "h2"]
 
 
 def gear(word: np.ndarray, size: int = GEAR_WORDS) -> np.ndarray:
@@ -66,18 +67,21 @@ def chunk_words(doc: np.ndarray, word: np.ndarray, average: int = AVERAGE) -> tu
     return first[same], after[same] + GEAR_WORDS
 
 
-def _digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+def _digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
+    """128-bit digests as two columns of 64 bits, which rows hold in less room than bytes."""
     view = memoryview(data.tobytes())
-    return pa.array([xxhash.xxh3_128_digest(view[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())
+    raw = b"".join([xxhash.xxh3_128_digest(view[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])
+    both = np.frombuffer(raw, np.int64).reshape(-1, 2)
+    return [pa.array(both[:, 0]), pa.array(both[:, 1])]
 
 
 def _tagged(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tag"), "text")
+    return docs.select(F.col("doc_id").cast("long"), F.hash("text").alias("tag"), "text")
 
 
 def chunks(docs: DataFrame, average: int = AVERAGE) -> DataFrame:
-    """doc_id, tag (of the text, for ids that repeat), start, end (bytes of the UTF-8 text), digest of
-    each chunk."""
+    """doc_id, tag (of the text, for ids that repeat), start, end (bytes of the UTF-8 text), h1 and h2 (the
+    digest) of each chunk."""
 
     def run(batches):
         for whole in batches:
@@ -88,16 +92,16 @@ def chunks(docs: DataFrame, average: int = AVERAGE) -> DataFrame:
                 if len(first):
                     s, e, row = start[first], end[after - 1], doc[first]
                     own = [b.column(c).take(pa.array(row)) for c in ("doc_id", "tag")]
-                    yield pa.record_batch([*own, pa.array(s - offsets[row]), pa.array(e - offsets[row]), _digests(data, s, e)], ["doc_id", "tag", "start", "end", "digest"])
+                    yield pa.record_batch([*own, *[pa.array((x - offsets[row]).astype(np.int32)) for x in (s, e)], *_digests(data, s, e)], ["doc_id", "tag", "start", "end", *DIGEST])
 
     return _tagged(docs).mapInArrow(run, _CHUNKS)
 
 
 def _shared(rows: DataFrame, label: str, *columns: str) -> DataFrame:
-    """digest, first (holder) of the digests found in two places or more."""
+    """h1, h2, first (holder) of the digests found in two places or more."""
     place = F.struct("doc_id", *columns)
-    ends = rows.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    out = materialize(ends.where("first <> last").select("digest", "first"), label)
+    ends = rows.groupBy(*DIGEST).agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    out = materialize(ends.where("first <> last").select(*DIGEST, "first"), label)
     release(rows.sparkSession)
     return out
 
@@ -123,12 +127,12 @@ def windows(docs: DataFrame, min_words: int = MIN_WORDS, average: int = AVERAGE)
     """doc_id, tag, nth and last (first words of the first and last window of min_words words), start, end
     (bytes): spans that repeat keeper_id, and single windows without an unshared chunk, with a digest."""
     every = chunks(docs, average).drop("end")
-    met = every.join(_shared(every, "substring-chunks", "tag", "start"), "digest")
+    met = every.join(_shared(every, "substring-chunks", "tag", "start"), DIGEST)
     hit = F.struct("start", F.col("first.doc_id").alias("id"), F.col("first.tag").alias("tag"), F.col("first.start").alias("at"))
     hits = met.select(F.col("doc_id").alias("hit_id"), F.col("tag").alias("hit_tag"), hit.alias("hit")).groupBy("hit_id", "hit_tag").agg(F.array_sort(F.collect_set("hit")).alias("hits"))
     hits = materialize(hits, "substring-hits")
     release(docs.sparkSession)
-    names = ["doc_id", "tag", "nth", "last", "start", "end", "digest", "keeper_id"]
+    names = ["doc_id", "tag", "nth", "last", "start", "end", *DIGEST, "keeper_id"]
 
     def run(batches):
         for whole in batches:
@@ -160,17 +164,17 @@ def windows(docs: DataFrame, min_words: int = MIN_WORDS, average: int = AVERAGE)
                     return [ids.take(pa.array(row)), tags.take(pa.array(row)), *[pa.array(x.astype(np.int32)) for x in numbers]]
 
                 if len(low):
-                    more = [pa.nulls(len(low), pa.binary()), first_id.take(pa.array(lead))]
+                    more = [*[pa.nulls(len(low), pa.int64())] * 2, first_id.take(pa.array(lead))]
                     yield pa.record_batch([*places(low, high - min_words, doc[low]), *more], names)
                 out = cover(np.maximum(after[alone] - min_words, 0), first[alone] + 1) | cover(low, high - min_words + 1)
                 at = np.flatnonzero(~out & (doc[:n] == doc[min_words - 1 :]))
                 if len(at):
-                    more = [_digests(data, start[at], end[at + min_words - 1]), pa.nulls(len(at), pa.int64())]
+                    more = [*_digests(data, start[at], end[at + min_words - 1]), pa.nulls(len(at), pa.int64())]
                     yield pa.record_batch([*places(at, at, doc[at]), *more], names)
 
     mine = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("tag") == F.col("hit_tag"))
     near = _tagged(docs).join(hits, mine, "left").select("doc_id", "tag", "text", "hits")
-    return near.mapInArrow(run, "doc_id long, tag long, nth int, last int, start int, end int, digest binary, keeper_id long")
+    return near.mapInArrow(run, "doc_id long, tag int, nth int, last int, start int, end int, h1 long, h2 long, keeper_id long")
 
 
 def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, average: int = AVERAGE) -> DataFrame:
@@ -178,12 +182,12 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, average: int =
     holder: keeper_id."""
     found = materialize(windows(docs, min_words, average), "substring-windows")
     release(docs.sparkSession)
-    single = found.where("digest is not null").drop("keeper_id")
-    met = single.join(_shared(single, "substring-shared", "tag", "nth"), "digest")
+    single = found.where("h1 is not null").drop("keeper_id", "last")
+    met = single.join(_shared(single, "substring-shared", "tag", "nth"), DIGEST).withColumn("last", F.col("nth"))
     elsewhere = ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("tag") != F.col("first.tag"))
     met = met.where(elsewhere | (F.col("nth") >= F.col("first.nth") + min_words))
     columns = ["doc_id", "tag", "nth", "last", "start", "end"]
-    return met.select(*columns, F.col("first.doc_id").alias("keeper_id")).unionByName(found.where("digest is null").select(*columns, "keeper_id"))
+    return met.select(*columns, F.col("first.doc_id").alias("keeper_id")).unionByName(found.where("h1 is null").select(*columns, "keeper_id"))
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, average: int = AVERAGE) -> DataFrame:
