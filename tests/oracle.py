@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import duckdb
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -20,6 +22,8 @@ def _cell(v):
         return "null"
     if hasattr(v, "tolist"):
         v = v.tolist()
+    if isinstance(v, Decimal):
+        v = float(v)
     if isinstance(v, float):
         return repr(round(v, 6) + 0.0)
     if isinstance(v, (list, tuple)):
@@ -27,12 +31,16 @@ def _cell(v):
     return str(v)
 
 
-def rows(frame) -> list[tuple]:
-    frame = frame[sorted(frame.columns)].astype(object)
-    return sorted(tuple(_cell(v) for v in r) for r in frame.itertuples(index=False, name=None))
+def rows(names, found) -> list[tuple]:
+    order = sorted(range(len(names)), key=lambda k: names[k])
+    return sorted(tuple(_cell(r[k]) for k in order) for r in found)
 
 
-def same(df, con, sql: str) -> None:
-    got, want = df.toPandas(), con.execute(sql).df()
-    assert sorted(got.columns) == sorted(want.columns)
-    assert rows(got) == rows(want)
+def same(df, con, sql: str) -> list[tuple]:
+    """The rows, which must be those of the SQL."""
+    want = con.execute(sql)
+    names = [d[0] for d in want.description]
+    assert sorted(df.columns) == sorted(names)
+    got = rows(df.columns, df.collect())
+    assert got == rows(names, want.fetchall())
+    return got
