@@ -13,13 +13,14 @@ def components(edges: DataFrame, label: str = "components", most: int = 100) ->
 
     Alternating large-star and small-star steps: each turns the edges of a node into edges to its
     smallest neighbour, so depth halves while the number of edges stays bounded by the input's. A
-    hub's neighbours are never gathered: the minimum is a map-side aggregate joined back.
+    hub's neighbours are never gathered: the minimum is a map-side aggregate, stored and joined back, so that
+AQE splits a hub's edges like any hot join key.
     """
     e = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     e = materialize(e, label)
     for _ in range(most):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        low = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), f"{label}-least")
         # large star: larger neighbours b of a point at the least neighbour of a
         large = both.where("b > a").join(low, "a").select(F.col("b"), F.col("m").alias("a")).distinct()
         large = materialize(large, label)

@@ -255,7 +255,7 @@ def keep_one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows that repeat both doc_id and text one stays. Documents without words stay, all of them."""
     found = materialize(_grouped(docs, percent).where("group is not null").select("doc_id", "tag", "group"), "jaccard-components")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
-    keepers = found.groupBy("group").agg(F.min(order).alias("keeper"))
+    keepers = materialize(found.groupBy("group").agg(F.min(order).alias("keeper")), "jaccard-keepers")
     told = found.join(keepers, "group").groupBy("doc_id", "tag").agg(
         F.count(F.lit(1)).alias("copies"), F.first(F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("tag") == F.col("keeper.tag"))).alias("stays")
     )
@@ -322,8 +322,9 @@ def _with_centres(cells: DataFrame) -> DataFrame:
 def _with_pivot(cells: DataFrame, among: DataFrame) -> DataFrame:
     """cells with the most central of `among` in each cell as pivot."""
     best = among.groupBy("cell").agg(F.min(F.struct("order", "key")).alias("_best"))
-    joined = cells.join(best.select("cell", F.col("_best.key").alias("pivot")), "cell")
-    return materialize(joined, "jaccard-cells")
+    # stored first: a hot cell is split only where both sides of the join come straight from a shuffle
+    best = materialize(best.select("cell", F.col("_best.key").alias("pivot")), "jaccard-pivots")
+    return materialize(cells.join(best, "cell"), "jaccard-cells")
 
 
 def _remaining(cells: DataFrame, told: DataFrame | None, labels: DataFrame) -> DataFrame:
@@ -340,7 +341,7 @@ def _remaining(cells: DataFrame, told: DataFrame | None, labels: DataFrame) -> D
     keep = materialize(keep.select("cell", "key", "n", "at", "order", "d", "component"), "jaccard-kept-cells")
     held = keep.groupBy("cell", "component").agg(F.count(F.lit(1)).alias("m"))
     tops = held.groupBy("cell").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("all"))
-    tops = tops.where("top.m < all").select("cell", F.col("top.component").alias("_top"))
+    tops = materialize(tops.where("top.m < all").select("cell", F.col("top.component").alias("_top")), "jaccard-tops")
     keep = keep.join(tops, "cell").withColumn("major", F.col("_top") == F.col("component")).drop("_top")
     keep = materialize(keep, "jaccard-split-cells")
     return _with_pivot(keep, keep.where("major"))

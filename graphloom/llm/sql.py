@@ -50,7 +50,7 @@ def _shingles(table: str, key: str) -> str:
   SELECT DISTINCT r, {key}, CASE WHEN len(w) < 5 THEN w ELSE list_slice(w, i, i + 4) END AS g
   FROM (
     SELECT row_number() OVER () AS r, {key},
-           list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[ 	-]+'),
+           list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[\x20\x09-\x0D]+'),
                        lambda x: x <> '') AS w
     FROM {table}
   ), LATERAL (SELECT unnest(range(1, greatest(2, len(w) - 3))) AS i)
@@ -84,4 +84,27 @@ FROM docs d LEFT JOIN n ON n.r = d.r LEFT JOIN reach ON reach.a = d.r LEFT JOIN
 GROUP BY d.r, d.doc_id
 """
 
-ORACLES = {"op2_quality_rules": _OP2, "op5_decontaminate": _OP5, "op8_jaccard_join": _OP8}
+_WORDS = r"""
+SELECT source, lang, 'words@1' AS tokenizer_version, count(*)::BIGINT AS n_docs,
+       sum(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')))::BIGINT AS n_tokens
+FROM documents GROUP BY source, lang
+"""
+
+_OP6 = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS body, sha1(encode(coalesce(html, ''))) AS hex FROM pages
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY body ORDER BY page_id DESC) AS nth, max(page_id) OVER (PARTITION BY body) AS top FROM p
+)
+SELECT page_id, octet_length(body)::BIGINT AS payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + ((('0x' || substr(hex, 5 * (i // 4)::INT + 1, 5))::INT >> (15 - 5 * (i % 4)::INT)) & 31), 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN nth = 1 THEN NULL ELSE top END AS refers_to
+FROM r
+"""
+
+#: Checked in the tests alone: a column of numbers and nulls comes as other types from the two engines' frames.
+TESTED = {"op6_warc": _OP6}
+
+ORACLES = {"token_counts_words": _WORDS, "op2_quality_rules": _OP2, "op5_decontaminate": _OP5, "op8_jaccard_join": _OP8}
