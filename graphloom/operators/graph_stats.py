@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.sources.scratch import store
+
 
 def package(path: Column, depth: int = 1) -> Column:
     """First `depth` directories of a path."""
@@ -144,6 +146,7 @@ def modularity(edges: DataFrame, membership: DataFrame, gamma: float = 1.0) -> D
     m2 = membership.select(F.col("id").alias("dst"), F.col("community").alias("c2"))
     j = e.join(m1, "src").join(m2, "dst")
     ends = j.select(F.explode(F.array(F.struct(F.col("c1").alias("c"), F.col("w"), F.when(F.col("c1") == F.col("c2"), F.col("w")).otherwise(0.0).alias("inside")), F.struct(F.col("c2").alias("c"), F.col("w"), F.lit(0.0).alias("inside")))).alias("x"))
-    by = ends.groupBy("x.c").agg(F.sum("x.w").alias("k"), F.sum("x.inside").alias("inside"))
-    two_m = F.sum("k").over(Window.partitionBy(F.lit(1)))
+    by = store(ends.groupBy("x.c").agg(F.sum("x.w").alias("k"), F.sum("x.inside").alias("inside")), "modularity")
+    by = by.crossJoin(F.broadcast(by.agg(F.sum("k").alias("two_m"))))  # one row
+    two_m = F.col("two_m")
     return by.select((F.col("inside") / (two_m / 2) - gamma * F.pow(F.col("k") / two_m, 2)).alias("q")).agg(F.round(F.sum("q"), 6).alias("modularity"))

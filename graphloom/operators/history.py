@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.sources.scratch import store
+
+
+#: Releases that one row may hold.
+MAX_RELEASES = 10_000
+
 
 def co_change(touches: DataFrame, max_files: int = 40, min_count: int = 2) -> DataFrame:
     """touches(commit, file): pairs of files changed together, with the cosine of their counts.
@@ -43,8 +49,10 @@ def added_in(files: DataFrame, releases: DataFrame) -> DataFrame:
     """files(file, ts) and releases(tag, ts): the earliest release at or after each file's start.
 
     An as-of join without a range join: both sides are one ordered stream of a few releases and all
-    files; releases(tag, ts) are counted small, so each file looks its release up in a sorted array.
+    files; up to MAX_RELEASES releases each file looks its own up in a sorted array, and more are an error.
     """
+    if releases.limit(MAX_RELEASES + 1).count() > MAX_RELEASES:
+        raise ValueError(f"more than {MAX_RELEASES} releases")
     order = releases.groupBy().agg(F.sort_array(F.collect_list(F.struct("ts", "tag"))).alias("all"))
     met = files.select("file", F.col("ts").alias("_start")).join(F.broadcast(order))  # one row
     later = F.filter("all", lambda r: r["ts"] >= F.col("_start"))
@@ -63,12 +71,6 @@ def rollup(events: DataFrame, key: str) -> DataFrame:
     return events.groupBy(name.alias(key)).agg(F.count(F.lit(1)).alias("calls"), F.sum(F.col("value").cast("decimal(18,4)")).cast("double").alias("total"))
 
 
-def floor_percentile(values: Column, q: float) -> Column:
-    """sorted[int(q * (n - 1))] of an array."""
-    ordered = F.sort_array(values)
-    return F.get(ordered, F.floor(F.lit(q) * (F.size(values) - 1)).cast("int"))
-
-
 def retrieval_log(events: DataFrame, zero_below: float = 1.0) -> DataFrame:
     """Per event_type: count, zero results, zero rate, p50 and p95 by the floor index.
 
@@ -93,7 +95,9 @@ def frecency(events: DataFrame, now: Column, half_life_days: float = 3.0, histor
     recent = events.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= history)
     days = F.greatest((now.cast("double") - F.col("ts").cast("timestamp").cast("double")) / 86400.0, F.lit(0.0))
     s = recent.groupBy("user_id").agg(F.sum(F.exp(-F.lit(0.6931471805599453) / half_life_days * days)).alias("s"))
-    top = F.max("s").over(Window.partitionBy(F.lit(1)))  # one row a user
+    s = store(s, "frecency")
+    s = s.crossJoin(F.broadcast(s.agg(F.max("s").alias("top"))))  # one row
+    top = F.col("top")
     return s.select("user_id", F.round("s", 6).alias("frecency"), F.round(1 + F.least(F.lit(0.5), F.col("s") / top * 0.5), 6).alias("boost"))
 
 

@@ -97,7 +97,17 @@ def rank_reset(results: DataFrame) -> DataFrame:
     return results.withColumn("repo_rank", F.row_number().over(Window.partitionBy("repo").orderBy("rank", "key")) - 1)
 
 
+# A path's tier by what it is: test code, compatibility code, examples, type declarations and
+# re-exports, module entries.
+PENALTIES = [
+    (r"(^|/)(test|tests|__tests__|spec)/|(_test\.[a-z]+|\.test\.[a-z]+|(^|/)spec\.[a-z]+)$", 0.3),
+    (r"(^|/)(compat|vendor|legacy)(/|$)", 0.5),
+    (r"(^|/)(examples?|docs?)(/|$)", 0.5),
+    (r"\.d\.ts$|(^|/)reexports(/|$)", 0.7),
+    (r"(^|/)(index\.(ts|js)|__init__\.py)$", 0.9),
+]
+
+
 def path_penalty(path):
-    """The smallest tier that a path falls under."""
-    tiers = [(r"(^|/)(vendor|node_modules)(/|$)", 0.3), (r"(^|/)(generated|dist)(/|$)", 0.4), (r"(^|/)(test|tests|__tests__)(/|$)", 0.5), (r"(^|/)(examples?|docs?)(/|$)", 0.7)]
-    return F.least(F.lit(1.0), *[F.when(path.rlike(p), w).otherwise(1.0) for p, w in tiers])
+    """The smallest tier that a path falls under, 1 under none."""
+    return F.least(F.lit(1.0), *[F.when(path.rlike(p), w).otherwise(1.0) for p, w in PENALTIES])

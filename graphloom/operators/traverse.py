@@ -24,7 +24,7 @@ def oriented(edges: DataFrame, direction: str = "out") -> DataFrame:
 def bfs(seeds: DataFrame, edges: DataFrame, depth: int, direction: str = "out", kinds: list[str] | None = None) -> DataFrame:
     """(node_id, depth, parent_id, edge_kind): each node at its least depth, discovered by the
     smallest (parent, kind); seeds at depth 0."""
-    e = oriented(edges.where(F.col("kind").isin(kinds)) if kinds else edges, direction)
+    e = store(oriented(edges.where(F.col("kind").isin(kinds)) if kinds else edges, direction), "bfs-edges")
     none = F.lit(None).cast("string")
     seen = store(seeds.select(F.col("id").alias("node_id"), F.lit(0).alias("depth"), none.alias("parent_id"), none.alias("edge_kind")).distinct(), "bfs")
     front = seen
@@ -51,22 +51,28 @@ def reach_tiers(edges: DataFrame, kinds: list[str], depth: int = 3) -> DataFrame
     return found
 
 
-def paths(seeds: DataFrame, edges: DataFrame, depth: int, direction: str = "out", kinds: list[str] | None = None) -> DataFrame:
-    """Simple paths from the seeds: (start, node_id, depth, path, kinds)."""
+def paths(seeds: DataFrame, edges: DataFrame, depth: int, direction: str = "out", kinds: list[str] | None = None, most: int | None = None) -> DataFrame:
+    """Simple paths from the seeds: (start, node_id, depth, path, kinds). most: of the paths of one length
+    from a start to a node only so many go on, the first by path; on acyclic edges no shorter or earlier
+    path is lost to that."""
     e = oriented(edges.where(F.col("kind").isin(kinds)) if kinds else edges, direction)
     front = seeds.select(F.col("id").alias("start"), F.col("id").alias("node_id"), F.lit(0).alias("depth"), F.array("id").alias("path"), F.array().cast("array<string>").alias("kinds"))
     out = front
     for hop in range(1, depth + 1):
         met = front.join(e, F.col("node_id") == F.col("a")).where(~F.array_contains("path", F.col("b")))
-        front = store(met.select("start", F.col("b").alias("node_id"), F.lit(hop).alias("depth"), F.array_append("path", F.col("b")).alias("path"), F.array_append("kinds", F.col("kind")).alias("kinds")), "paths")
+        met = met.select("start", F.col("b").alias("node_id"), F.lit(hop).alias("depth"), F.array_append("path", F.col("b")).alias("path"), F.array_append("kinds", F.col("kind")).alias("kinds"))
+        if most:
+            met = met.withColumn("rn", F.row_number().over(Window.partitionBy("start", "node_id").orderBy(F.array_join("path", ">")))).where(F.col("rn") <= most).drop("rn")
+        front = store(met, "paths")
         out = out.unionByName(front)
     return out
 
 
 def shortest_paths(seeds: DataFrame, targets: DataFrame, edges: DataFrame, depth: int, k: int = 3, direction: str = "out") -> DataFrame:
-    """The k first paths of each (start, target) by length, then by path."""
-    found = paths(seeds, edges, depth, direction).join(targets.select(F.col("id").alias("node_id")), "node_id", "left_semi").where("depth > 0")
-    w = Window.partitionBy("start", "node_id").orderBy("depth", "path")
+    """The k first paths of each (start, target) by length, then by path. The frontier is bounded by k for
+    each (start, node), so paths are not enumerated."""
+    found = paths(seeds, edges.dropDuplicates(["src", "dst"]), depth, direction, most=k).join(targets.select(F.col("id").alias("node_id")), "node_id", "left_semi").where("depth > 0")
+    w = Window.partitionBy("start", "node_id").orderBy("depth", F.array_join("path", ">"))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("start", "node_id", "rank", "depth", F.array_join("path", ">").alias("path"))
 
 

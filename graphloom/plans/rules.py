@@ -28,9 +28,10 @@ def _(s, d):
     return r.co_change_guard(table(s, d, "lineitem").select(F.col("l_orderkey").alias("commit"), "l_partkey").join(p, "l_partkey"), "Brand#1", "Brand#2")
 
 
-@query("dead_code", GRAPH_SQL + " SELECT id, kind FROM nodes WHERE kind NOT IN ('customer', 'region') AND id NOT IN (SELECT dst FROM edges)")
+@query("dead_code", GRAPH_SQL + " SELECT id, kind FROM nodes WHERE kind NOT IN ('customer', 'nation', 'region') AND id NOT IN (SELECT dst FROM edges WHERE weight >= 2 OR kind = 'placed')")
 def _(s, d):
-    return r.dead_code(nodes(s, d), edges(s, d), ["customer", "region"])
+    """Uses count from two rows on, placed orders always; entry points are customers, nations and regions."""
+    return r.dead_code(nodes(s, d), edges(s, d).where("weight >= 2 or kind = 'placed'"), ["customer", "nation", "region"])
 
 
 @query("hotspots", GRAPH_SQL + """, c AS (SELECT 'part:' || l_partkey AS id, count(DISTINCT l_orderkey) AS commits FROM lineitem GROUP BY 1), i AS (SELECT dst AS id, count(*) AS fan_in FROM edges GROUP BY 1),
@@ -92,7 +93,14 @@ def _(s, d):
     return r.rank_reset(nodes(s, d).where("kind = 'customer'").select(F.col("id").alias("key"), F.col("repo_prefix").alias("repo"), F.col("size").alias("rank")))
 
 
-@query("path_penalty", """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 0.3 WHEN 1 THEN 0.5 WHEN 2 THEN 0.7 WHEN 3 THEN 0.4 ELSE 1.0 END::DOUBLE AS penalty FROM documents""")
+_DIRS = ["src/test", "lib/__tests__", "compat", "examples/demo", "types", "src", "pkg/reexports", "app"]
+_FILES = ["main.go", "util_test.go", "index.ts", "api.d.ts", "__init__.py", "Order.java", "spec.rb"]
+_PENALTY_SQL = f"""WITH p AS (SELECT p_partkey, list_extract({_DIRS}, (p_partkey % {len(_DIRS)})::INT + 1) || '/' || lower(replace(p_name, ' ', '_')) || '/' || list_extract({_FILES}, (p_size % {len(_FILES)})::INT + 1) AS path FROM part)
+SELECT p_partkey, path, least(1.0, {", ".join(f"CASE WHEN regexp_matches(path, '{p}') THEN {w} ELSE 1.0 END" for p, w in r.PENALTIES)})::DOUBLE AS penalty FROM p"""
+
+
+@query("path_penalty", _PENALTY_SQL)
 def _(s, d):
-    roots = F.array(*[F.lit(x) for x in ("a/vendor/tests/x", "tests/x", "a/docs/x", "dist/x", "src/testing/x")])
-    return table(s, d, "documents").select("doc_id", r.path_penalty(F.get(roots, (F.col("doc_id") % 5).cast("int"))).alias("penalty"))
+    pick = lambda names, k: F.get(F.array(*[F.lit(x) for x in names]), (F.col(k) % len(names)).cast("int"))
+    path = F.concat_ws("/", pick(_DIRS, "p_partkey"), F.lower(F.translate("p_name", " ", "_")), pick(_FILES, "p_size"))
+    return table(s, d, "part").select("p_partkey", path.alias("path")).withColumn("penalty", r.path_penalty(F.col("path")))

@@ -36,16 +36,16 @@ def _(s, d):
     return out.where(F.col("name").rlike("red|blue")).select("id", "name")
 
 
-@query("field_filters", GRAPH_SQL + " SELECT id FROM nodes WHERE kind = 'customer' AND repo_prefix IN ('EUROPE', '') AND contains(lower(file_path), 'fr') AND contains(lower(name), '1')")
+@query("field_filters", GRAPH_SQL + " SELECT id FROM nodes WHERE kind = 'customer' AND repo_prefix IN ('EUROPE', '') AND contains(lower(file_path), 'europe') AND contains(lower(name), '1')")
 def _(s, d):
-    return c.field_query(nodes(s, d), "find kind:supplier kind:customer repo:EUROPE path:fr name:1 lang:*").select("id")
+    return c.field_query(nodes(s, d), "find kind:supplier kind:customer repo:EUROPE path:europe name:1 lang:*").select("id")
 
 
 @query("winnow", GRAPH_SQL + """ SELECT n.id, n.kind, coalesce(i.c, 0)::BIGINT AS fan_in, coalesce(o.c, 0)::BIGINT AS fan_out FROM nodes n
 LEFT JOIN (SELECT dst, count(*) AS c FROM edges GROUP BY 1) i ON i.dst = n.id LEFT JOIN (SELECT src, count(*) AS c FROM edges GROUP BY 1) o ON o.src = n.id
-WHERE n.kind IN ('part', 'supplier') AND starts_with(file_path, 'parts/') AND coalesce(i.c, 0) >= 20 AND coalesce(o.c, 0) >= 20""")
+WHERE n.kind IN ('part', 'supplier') AND starts_with(file_path, 'parts/') AND coalesce(i.c, 0) >= 8 AND coalesce(o.c, 0) >= 8""")
 def _(s, d):
-    return c.winnow(nodes(s, d), edges(s, d), ["part", "supplier"], "parts/", 20, 20)
+    return c.winnow(nodes(s, d), edges(s, d), ["part", "supplier"], "parts/", 8, 8)
 
 
 @query("anchored_path", GRAPH_SQL + " SELECT id, file_path FROM nodes WHERE file_path = 'asia' OR starts_with(file_path, 'asia/')")

@@ -28,18 +28,18 @@ def _(s, d):
 
 
 @query("import_closure", _REC + f""", w(node_id, depth) AS (
-  SELECT id, 0 FROM nodes WHERE {_SEEDS} UNION SELECT dst, depth + 1 FROM w JOIN edges ON src = node_id WHERE depth < 4 AND kind IN ('placed', 'contains', 'supplied_by'))
+  SELECT id, 0 FROM nodes WHERE {_SEEDS} UNION SELECT dst, depth + 1 FROM w JOIN edges ON src = node_id WHERE depth < 6 AND kind IN ('placed', 'contains', 'supplied_by'))
 SELECT node_id, min(depth) AS distance FROM w GROUP BY 1""")
 def _(s, d):
-    return t.bfs(_seeds(s, d), edges(s, d), 4, kinds=["placed", "contains", "supplied_by"]).select("node_id", F.col("depth").alias("distance"))
+    return t.bfs(_seeds(s, d), edges(s, d), 6, kinds=["placed", "contains", "supplied_by"]).select("node_id", F.col("depth").alias("distance"))
 
 
 @query("class_hierarchy", _REC + """, w AS (
   SELECT id AS start, id AS node_id, 0 AS depth, [id] AS path, []::VARCHAR[] AS kinds FROM nodes WHERE kind = 'supplier'
-  UNION ALL SELECT start, dst, depth + 1, list_append(path, dst), list_append(kinds, e.kind) FROM w JOIN edges e ON src = node_id WHERE depth < 2 AND e.kind = 'located_in' AND NOT list_contains(path, dst))
+  UNION ALL SELECT start, dst, depth + 1, list_append(path, dst), list_append(kinds, e.kind) FROM w JOIN edges e ON src = node_id WHERE depth < 8 AND e.kind = 'located_in' AND NOT list_contains(path, dst))
 SELECT start, node_id, depth, array_to_string(path, '>') AS path, array_to_string(kinds, '>') AS kinds FROM w""")
 def _(s, d):
-    out = t.paths(nodes(s, d).where("kind = 'supplier'"), edges(s, d), 2, kinds=["located_in"])
+    out = t.paths(nodes(s, d).where("kind = 'supplier'"), edges(s, d), 8, kinds=["located_in"])
     return out.withColumns({"path": F.array_join("path", ">"), "kinds": F.array_join("kinds", ">")})
 
 
@@ -52,13 +52,12 @@ def _(s, d):
 
 
 @query("k_shortest_paths", _REC + """, w AS (
-  SELECT id AS start, id AS node_id, 0 AS depth, [id] AS path FROM nodes WHERE kind = 'customer' AND size > 0 AND id IN ('customer:1', 'customer:2', 'customer:3', 'customer:5')
+  SELECT id AS start, id AS node_id, 0 AS depth, [id] AS path FROM nodes WHERE kind = 'customer' AND repo_prefix = 'ASIA'
   UNION ALL SELECT start, dst, depth + 1, list_append(path, dst) FROM w JOIN edges ON src = node_id WHERE depth < 3 AND NOT list_contains(path, dst)),
-r AS (SELECT *, row_number() OVER (PARTITION BY start, node_id ORDER BY depth, path)::INT AS rank FROM w WHERE depth > 0 AND node_id LIKE 'supplier:%')
+r AS (SELECT *, row_number() OVER (PARTITION BY start, node_id ORDER BY depth, array_to_string(path, '>'))::INT AS rank FROM w WHERE depth > 0 AND node_id LIKE 'supplier:%')
 SELECT start, node_id, rank, depth, array_to_string(path, '>') AS path FROM r WHERE rank <= 3""")
 def _(s, d):
-    n = nodes(s, d)
-    return t.shortest_paths(n.where(F.col("id").isin("customer:1", "customer:2", "customer:3", "customer:5")), n.where("kind = 'supplier'"), edges(s, d), 3)
+    return t.shortest_paths(_seeds(s, d), nodes(s, d).where("kind = 'supplier'"), edges(s, d), 3)
 
 
 @query("would_create_cycle", _REC + """, p AS (SELECT 'region:' || (n_nationkey % 5) AS src, 'nation:' || n_nationkey AS dst FROM nation UNION SELECT 'nation:' || n_nationkey, 'region:' || (n_nationkey % 5) FROM nation),
@@ -71,10 +70,10 @@ def _(s, d):
 
 
 @query("budgeted_walk", _REC + f""", w(node_id, depth) AS (
-  SELECT id, 0 FROM nodes WHERE {_SEEDS} UNION SELECT dst, depth + 1 FROM w JOIN edges ON src = node_id WHERE depth < 2)
+  SELECT id, 0 FROM nodes WHERE {_SEEDS} UNION SELECT dst, depth + 1 FROM w JOIN edges ON src = node_id WHERE depth < 8)
 SELECT node_id, min(depth) AS depth FROM w GROUP BY 1 ORDER BY depth, node_id LIMIT 250""")
 def _(s, d):
-    return t.budgeted_walk(_seeds(s, d), edges(s, d), 2, 2000)
+    return t.budgeted_walk(_seeds(s, d), edges(s, d), 8, 2000)
 
 
 @query("one_hop_expand", GRAPH_SQL + """ SELECT src AS from_id, dst AS to_id, edges.kind, n.kind AS node_kind FROM edges JOIN nodes n ON n.id = dst WHERE src IN (SELECT id FROM nodes WHERE kind = 'part' AND size > 40)""")

@@ -10,9 +10,13 @@ by (src, dst, kind); weight counts the rows behind one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.sources.scratch import scratch, small
+
 STRUCTURE = ["located_in"]
 CALLS = ["placed", "contains", "supplied_by"]
 
@@ -25,7 +29,7 @@ def _id(kind: str, key: str):
     return F.concat(F.lit(f"{kind}:"), F.col(key).cast("string"))
 
 
-def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _built_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
     region = t("region")
     nation = t("nation").join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))  # 25 rows by definition
@@ -37,7 +41,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         nation.join(place.drop("r_name"), "n_nationkey").select(_id("nation", "n_nationkey").alias("id"), F.lit("nation").alias("kind"), F.col("n_name").alias("name"), F.col("place").alias("file_path"), F.col("r_name").alias("repo_prefix"), F.lit(0).cast("long").alias("size")),
     ]
     for kind, key, name, own in (("customer", "c_custkey", "c_name", "c_nationkey"), ("supplier", "s_suppkey", "s_name", "s_nationkey")):
-        rows = t(kind).join(F.broadcast(place), F.col(own) == F.col("n_nationkey"))
+        rows = t(kind).join(small(place), F.col(own) == F.col("n_nationkey"))
         size = F.length(name).cast("long")
         out.append(rows.select(_id(kind, key).alias("id"), F.lit(kind).alias("kind"), F.col(name).alias("name"), F.concat_ws("/", "place", F.lit(kind)).alias("file_path"), F.col("r_name").alias("repo_prefix"), size.alias("size")))
     out.append(t("part").select(_id("part", "p_partkey").alias("id"), F.lit("part").alias("kind"), F.col("p_name").alias("name"), F.concat_ws("/", F.lit("parts"), F.lower(F.translate("p_brand", "# ", "__"))).alias("file_path"), F.lit("").alias("repo_prefix"), F.col("p_size").cast("long").alias("size")))
@@ -48,7 +52,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _built_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
     line = t("lineitem")
     link = lambda df, a, ka, b, kb, kind: df.groupBy(_id(a, ka).alias("src"), _id(b, kb).alias("dst")).agg(F.count(F.lit(1)).alias("weight")).withColumn("kind", F.lit(kind))
@@ -66,6 +70,35 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select("src", "dst", "kind", "weight")
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """The table built once for an application and folder, in the shared scratch folder, partitioned by
+    kind, so that a query reads the kinds and columns it names and no query joins the sources again."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    columns = build(spark, sf_dir)
+    if key not in _STORED:
+        path = scratch(spark, f"graph-{name}")
+        columns.write.partitionBy("kind").parquet(path)
+        _STORED[key] = path
+    return spark.read.schema(columns.schema).parquet(_STORED[key]).select(*columns.columns)
+
+
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir, "nodes", _built_nodes)
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir, "edges", _built_edges)
+
+
+def forget(spark: SparkSession, sf_dir: str) -> None:
+    """Build the graph of a folder anew at its next use, after its tables have changed."""
+    for name in ("nodes", "edges"):
+        _STORED.pop((spark.sparkContext.applicationId, sf_dir, name), None)
+
+
 #: The same two tables in SQL, for the oracles.
 NODES_SQL = """
 nodes AS (

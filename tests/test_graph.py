@@ -15,51 +15,83 @@ from graphloom.operators.graph_stats import modularity
 
 @pytest.fixture(scope="module")
 def repo(spark):
-    """main -> a -> b -> c -> d, a -> x, b -> a (a cycle)."""
-    e = [("main", "a"), ("a", "b"), ("b", "c"), ("c", "d"), ("a", "x"), ("b", "a")]
+    """Two diamonds in a row, with a parallel edge, a self-loop, a pair of edges back and forth, and a node
+    alone: top -> l1, r1 -> mid -> l2, r2 -> end; top -> l1 twice; mid -> mid; end <-> tail; island."""
+    e = [("top", "l1"), ("top", "r1"), ("l1", "mid"), ("r1", "mid"), ("mid", "l2"), ("mid", "r2"), ("l2", "end"), ("r2", "end")]
+    e += [("top", "l1"), ("mid", "mid"), ("end", "tail"), ("tail", "end")]
     edges = spark.createDataFrame([(s, d, "calls", 1) for s, d in e], "src string, dst string, kind string, weight long")
-    nodes = spark.createDataFrame([(i, "function", i, f"pkg/{i}.go", "", 1) for i in ["main", "a", "b", "c", "d", "x", "h"]], "id string, kind string, name string, file_path string, repo_prefix string, size long")
+    ids = ["top", "l1", "r1", "mid", "l2", "r2", "end", "tail", "island"]
+    nodes = spark.createDataFrame([(i, "routine", i, f"lib/{i}.py", "", 1) for i in ids], "id string, kind string, name string, file_path string, repo_prefix string, size long")
     return nodes, edges
 
 
-def test_bfs_bounds_a_cycle(repo):
+def test_bfs_takes_the_first_parent(repo):
     nodes, edges = repo
-    got = {r.node_id: (r.depth, r.parent_id) for r in traverse.bfs(nodes.where("id = 'main'"), edges, 8).collect()}
-    assert got == {"main": (0, None), "a": (1, "main"), "b": (2, "a"), "x": (2, "a"), "c": (3, "b"), "d": (4, "c")}
+    got = {r.node_id: (r.depth, r.parent_id) for r in traverse.bfs(nodes.where("id = 'top'"), edges, 9).collect()}
+    assert got == {"top": (0, None), "l1": (1, "top"), "r1": (1, "top"), "mid": (2, "l1"), "l2": (3, "mid"), "r2": (3, "mid"), "end": (4, "l2"), "tail": (5, "end")}
 
 
 def test_reach_tiers_are_disjoint(repo):
     _, edges = repo
-    got = {(r.caller, r.tier) for r in traverse.reach_tiers(edges, ["calls"]).where("node = 'd'").collect()}
-    assert got == {("c", 1), ("b", 2), ("a", 3)}
+    got = {(r.caller, r.tier) for r in traverse.reach_tiers(edges, ["calls"]).where("node = 'end'").collect()}
+    assert got == {("l2", 1), ("r2", 1), ("tail", 1), ("mid", 2), ("l1", 3), ("r1", 3)}
 
 
 def test_would_cycle(repo, spark):
     _, edges = repo
-    pairs = spark.createDataFrame([("d", "main"), ("main", "x")], "src string, dst string")
+    pairs = spark.createDataFrame([("end", "top"), ("top", "end"), ("tail", "tail")], "src string, dst string")
     got = {(r.src, r.dst): r.cycle for r in traverse.would_cycle(pairs, edges, 9).collect()}
-    assert got == {("d", "main"): True, ("main", "x"): False}
+    assert got == {("end", "top"): True, ("top", "end"): False, ("tail", "tail"): True}
+
+
+def test_k_shortest_paths(repo):
+    nodes, edges = repo
+    got = traverse.shortest_paths(nodes.where("id = 'top'"), nodes.where("id = 'end'"), edges, 4, k=3)
+    assert [(r.rank, r.path) for r in got.orderBy("rank").collect()] == [(1, "top>l1>mid>l2>end"), (2, "top>l1>mid>r2>end"), (3, "top>r1>mid>l2>end")]
 
 
 def test_strong_components(repo):
     nodes, edges = repo
     got = {r.id: r.component for r in a.strong_components(nodes.select("id"), edges).collect()}
-    assert got["a"] == got["b"] == "a"
-    assert len({got[i] for i in ("main", "c", "d", "x", "h")}) == 5
+    assert got["end"] == got["tail"] == "end"
+    assert len({got[i] for i in ("top", "l1", "r1", "mid", "l2", "r2", "end", "island")}) == 8
 
 
-def test_weak_components_and_core(repo):
+def test_weak_components_and_cores(repo, spark):
     nodes, edges = repo
     got = {r.id: r.component for r in a.components(nodes.select("id"), edges).collect()}
-    assert len({got[i] for i in ("main", "a", "b", "c", "d", "x")}) == 1 and got["h"] == "h"
-    assert a.k_core(edges, 2).count() == 0
-
-
-def test_betweenness_of_a_chain(repo):
+    assert {i for i, c in got.items() if c == "end"} == {"top", "l1", "r1", "mid", "l2", "r2", "end", "tail"} and got["island"] == "island"
+    assert a.k_core(edges, 3).count() == 0 and a.k_core(edges, 2).count() == 7
+    cores = {r.id: r.core for r in a.core_numbers(nodes.select("id"), edges).collect()}
+    assert cores == {**dict.fromkeys(["top", "l1", "r1", "mid", "l2", "r2", "end"], 2), "tail": 1, "island": 0}
+
+
+def test_core_numbers_equal_peeling(spark):
+    rng = random.Random(5)
+    pairs = {(f"n{rng.randrange(60)}", f"n{int(60 * rng.random() ** 3)}") for _ in range(500)}
+    near: dict[str, set[str]] = {}
+    for x, y in pairs:
+        if x != y:
+            near.setdefault(x, set()).add(y)
+            near.setdefault(y, set()).add(x)
+    want, k, left = {}, 0, {x: set(n) for x, n in near.items()}
+    while left:
+        x = min(left, key=lambda y: (len(left[y]), y))
+        k = max(k, len(left[x]))
+        want[x] = k
+        for y in left.pop(x):
+            left[y].discard(x)
+    e = spark.createDataFrame([(x, y, 1) for x, y in pairs], "src string, dst string, weight long")
+    got = a.core_numbers(spark.createDataFrame([(x,) for x in near], "id string"), e)
+    assert {r.id: r.core for r in got.collect()} == want and len(set(want.values())) > 3
+
+
+def test_betweenness_of_diamonds(repo):
     nodes, edges = repo
     got = {r.id: r.betweenness for r in a.betweenness(nodes.select("id"), edges, nodes.select("id")).collect()}
-    # pairs whose only shortest path runs through the node
-    assert got["a"] == 5 and got["b"] == 4 and got["c"] == 3 and got["main"] == 0
+    # through mid run top, l1, r1 to l2, r2, end, tail; two of three paths from top go by l1
+    assert got["mid"] == 12 and got["end"] == 6 and got["top"] == got["tail"] == got["island"] == 0
+    assert abs(got["l1"] - 5 * 2 / 3) < 1e-9 and abs(got["r1"] - 5 / 3) < 1e-9 and got["l2"] == got["r2"] == 4
 
 
 def test_betweenness_pivots_are_drawn_from_all_nodes(spark):
@@ -110,10 +142,10 @@ def test_modularity_of_two_cliques(spark):
 
 def test_pipeline_language(repo):
     nodes, edges = repo
-    got = scan.run_pipeline(nodes, edges, "nodes name~^main$ | traverse calls out | traverse calls out | filter path=pkg/x")
-    assert [r.id for r in got.collect()] == ["x"]
+    got = scan.run_pipeline(nodes, edges, "nodes name~^top$ | traverse calls out | traverse calls out | filter path=lib/mid")
+    assert [r.id for r in got.collect()] == ["mid"]
     with pytest.raises(ValueError):
-        scan.run_pipeline(nodes, edges, "filter kind=function")
+        scan.run_pipeline(nodes, edges, "filter kind=routine")
 
 
 def test_clone_pairs_equal_brute_force(spark):
