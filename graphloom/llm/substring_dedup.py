@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_slices, materialize, release, text_buffers
+from .common import byte_slices, discard, materialize, release, text_buffers
 from .wordhash import mix, words
 
 MIN_WORDS = 50
@@ -127,10 +127,12 @@ def windows(docs: DataFrame, min_words: int = MIN_WORDS, average: int = AVERAGE)
     """doc_id, tag, nth and last (first words of the first and last window of min_words words), start, end
     (bytes): spans that repeat keeper_id, and single windows without an unshared chunk, with a digest."""
     every = chunks(docs, average).drop("end")
-    met = every.join(_shared(every, "substring-chunks", "tag", "start"), DIGEST)
+    shared = _shared(every, "substring-chunks", "tag", "start")
+    met = every.join(shared, DIGEST)
     hit = F.struct("start", F.col("first.doc_id").alias("id"), F.col("first.tag").alias("tag"), F.col("first.start").alias("at"))
     hits = met.select(F.col("doc_id").alias("hit_id"), F.col("tag").alias("hit_tag"), hit.alias("hit")).groupBy("hit_id", "hit_tag").agg(F.array_sort(F.collect_set("hit")).alias("hits"))
     hits = materialize(hits, "substring-hits")
+    discard(shared)
     release(docs.sparkSession)
     names = ["doc_id", "tag", "nth", "last", "start", "end", *DIGEST, "keeper_id"]
 
@@ -170,18 +172,22 @@ def windows(docs: DataFrame, min_words: int = MIN_WORDS, average: int = AVERAGE)
                 at = np.flatnonzero(~out & (doc[:n] == doc[min_words - 1 :]))
                 if len(at):
                     more = [*_digests(data, start[at], end[at + min_words - 1]), pa.nulls(len(at), pa.int64())]
-                    yield pa.record_batch([*places(at, at, doc[at]), *more], names)
+                    own = places(at, at, doc[at])
+                    own[3] = pa.nulls(len(at), pa.int32())  # the first window is the last
+                    yield pa.record_batch([*own, *more], names)
 
     mine = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("tag") == F.col("hit_tag"))
     near = _tagged(docs).join(hits, mine, "left").select("doc_id", "tag", "text", "hits")
-    return near.mapInArrow(run, "doc_id long, tag int, nth int, last int, start int, end int, h1 long, h2 long, keeper_id long")
+    out = materialize(near.mapInArrow(run, "doc_id long, tag int, nth int, last int, start int, end int, h1 long, h2 long, keeper_id long"), "substring-windows")
+    discard(hits)
+    release(docs.sparkSession)
+    return out
 
 
 def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS, average: int = AVERAGE) -> DataFrame:
     """doc_id, tag, nth, last, start, end of the spans and windows that repeat an earlier one, with its
     holder: keeper_id."""
-    found = materialize(windows(docs, min_words, average), "substring-windows")
-    release(docs.sparkSession)
+    found = windows(docs, min_words, average)
     single = found.where("h1 is not null").drop("keeper_id", "last")
     met = single.join(_shared(single, "substring-shared", "tag", "nth"), DIGEST).withColumn("last", F.col("nth"))
     elsewhere = ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("tag") != F.col("first.tag"))
