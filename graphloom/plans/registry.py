@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["scans", "aggregates", "history", "traversals", "text", "algorithms", "similarity", "streams", "rules", "store", "analysis", "rerank"]
+MODULES = ["scans", "aggregates", "history", "traversals", "text", "algorithms", "similarity", "streams", "rules", "store", "analysis", "rerank", "analyses"]
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
