@@ -3,6 +3,7 @@ column, empty texts, ties, repeated rows, empty tables, extra columns."""
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import zlib
@@ -252,15 +253,62 @@ def test_packing(spark):
     assert packing.pack(_docs(spark, rows).limit(0)).count() == 0
 
 
-def test_best_fit_is_close_to_the_bound():
+def _sequences(spark, lengths, room=1024):
+    """Sequences of a packing of these lengths, which must be whole and gapless."""
+    items = spark.createDataFrame(list(enumerate(int(x) for x in lengths)), "rid long, length long")
+    got = packing.place(items, room).collect()
+    assert sorted(r.rid for r in got) == list(range(len(lengths)))
+    by = defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append((r.offset, int(lengths[r.rid])))
+    for places in by.values():
+        at = 0
+        for offset, n in sorted(places):
+            assert offset == at
+            at += n
+        assert at <= room
+    return len(by)
+
+
+def _best_fit(lengths, room=1024):
+    """Plain best-fit-decreasing, piece by piece."""
+    gaps, opened = [], 0
+    for n in sorted(map(int, lengths), reverse=True):
+        at = bisect.bisect_left(gaps, n)
+        gap = gaps.pop(at) if at < len(gaps) else room
+        opened += gap == room
+        if gap > n:
+            bisect.insort(gaps, gap - n)
+    return opened
+
+
+def test_sweeps_pack_as_well_as_best_fit(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANGE_ROWS", 40)  # many ranges, so that matches go across them
     rng = np.random.default_rng(1)
-    lengths = rng.integers(1, 1025, 20000)
-    bins = defaultdict(int)
-    for length, _, n, each, first, _ in packing.best_fit(Counter(lengths.tolist())):
-        for i in range(n):
-            bins[first + i // each] += length
-    assert max(bins.values()) <= 1024 and sum(bins.values()) == lengths.sum()
-    assert len(bins) <= 1.02 * lengths.sum() / 1024
+    cases = [rng.integers(1, 1025, 400), np.concatenate([np.full(150, 341), rng.integers(1, 600, 150)]), np.full(90, 300), (1024 * rng.random(300) ** 3 + 1).astype(int), np.array([5])]
+    for lengths in cases:
+        n, bound = _sequences(spark, lengths), -(-int(lengths.sum()) // 1024)
+        assert bound <= n <= max(_best_fit(lengths) * 1.03 + 1, bound)
+
+
+def test_sweeps_match_like_parentheses():
+    """Matching inside ranges and then across them equals one sweep over all."""
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        n = int(rng.integers(1, 60))
+        kind = rng.integers(0, 2, n)
+        whole = {(p, g) for p, g in packing.sweep(kind, kind)[0]}
+        cuts = sorted(rng.integers(0, n + 1, 4).tolist())
+        got, left, counts = set(), {}, {}
+        for part, (a, b) in enumerate(zip([0, *cuts], [*cuts, n], strict=True)):
+            met, pieces, gaps = packing.sweep(kind[a:b], kind[a:b])
+            got |= {(p + a, g + a) for p, g in met}
+            left[part, 0], left[part, 1] = [p + a for p in pieces], [g + a for g in gaps]
+            counts[part, 0], counts[part, 1] = len(pieces), len(gaps)
+        segments, stack = packing.across(counts)
+        for _, p, high, g, low, k in segments:
+            got |= {(left[p, 0][high - 1 - t], left[g, 1][low + t]) for t in range(k)}
+        assert got == whole and sum(h - low for _, low, h in stack) == (kind == 0).sum() - len(whole)
 
 
 def test_repeated_passages_are_found(spark):
