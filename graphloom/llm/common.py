@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,27 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_path = path
+    if _MADE:
+        _MADE[-1].append(out)
+    return out
+
+
+#: The scratch tables made inside each open call of `settle`.
+_MADE: list[list[DataFrame]] = []
+
+
+def settle(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """The table that make() plans, stored; the scratch tables it made on the way are deleted, so that a
+    chain of operators needs no more room than its largest."""
+    made: list[DataFrame] = []
+    _MADE.append(made)
+    try:
+        plan = make()
+    finally:
+        _MADE.pop()
+    out = materialize(plan, label)
+    discard(*made)
+    release(out.sparkSession)
     return out
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def components(edges: DataFrame, label: str = "components", most: int = 100) -> DataFrame:
@@ -20,6 +20,7 @@ AQE splits a hub's edges like any hot join key.
     e = materialize(e, label)
     for _ in range(most):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        last = e
         low = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), f"{label}-least")
         # large star: larger neighbours b of a point at the least neighbour of a
         large = both.where("b > a").join(low, "a").select(F.col("b"), F.col("m").alias("a")).distinct()
@@ -34,6 +35,7 @@ AQE splits a hub's edges like any hot join key.
         ends = ends.unionByName(new.select(F.col("b").alias("key"), F.lit(0).alias("up"), F.lit(1).alias("down")))
         ends = ends.groupBy("key").agg(F.max("up").alias("up"), F.sum("down").alias("down"))
         e = new
+        discard(last, low, large)
         if ends.where("down > 1 or (up = 1 and down = 1)").isEmpty():
             break
     else:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, boxed, byte_slices, join_dimension, materialize, release, text_buffers, unboxed
+from .common import BROADCAST_ROWS, boxed, byte_slices, discard, join_dimension, materialize, release, settle, text_buffers, unboxed
 from .components import components
 from .wordhash import shingle_sets
 
@@ -231,7 +231,8 @@ def _grouped(docs: DataFrame, percent: int) -> DataFrame:
             labels = spark.createDataFrame([], "key long, component long")
         if last:
             break
-        cells = _remaining(cells, told, labels)
+        used, cells = cells, _remaining(cells, told, labels)
+        discard(used)
         before, minors = minors, cells.where("not major").count()
         if not minors:
             break
@@ -253,7 +254,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def keep_one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs with one document of each component, that with the smallest doc_id (a null one comes last); of
     rows that repeat both doc_id and text one stays. Documents without words stay, all of them."""
-    found = materialize(_grouped(docs, percent).where("group is not null").select("doc_id", "tag", "group"), "jaccard-components")
+    found = settle(lambda: _grouped(docs, percent).where("group is not null").select("doc_id", "tag", "group"), "jaccard-components")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
     keepers = materialize(found.groupBy("group").agg(F.min(order).alias("keeper")), "jaccard-keepers")
     told = found.join(keepers, "group").groupBy("doc_id", "tag").agg(
@@ -313,10 +314,14 @@ def _with_centres(cells: DataFrame) -> DataFrame:
     sizes = materialize(sizes.where("low <> high").select("cell", "m"), "jaccard-sizes")
     release(cells.sparkSession)
     full = materialize(cells.join(sizes, "cell").distinct(), "jaccard-cells")
+    discard(sizes)
     release(cells.sparkSession)
     central = full.groupBy("key").agg(F.round(-F.sum(F.log2("m")) / (F.first("n") / 4 + 1), 3).alias("order"))
     ordered = materialize(full.drop("m").join(central, "key"), "jaccard-ordered")
-    return _with_pivot(ordered, ordered)
+    discard(full)
+    out = _with_pivot(ordered, ordered)
+    discard(ordered)
+    return out
 
 
 def _with_pivot(cells: DataFrame, among: DataFrame) -> DataFrame:
@@ -324,7 +329,9 @@ def _with_pivot(cells: DataFrame, among: DataFrame) -> DataFrame:
     best = among.groupBy("cell").agg(F.min(F.struct("order", "key")).alias("_best"))
     # stored first: a hot cell is split only where both sides of the join come straight from a shuffle
     best = materialize(best.select("cell", F.col("_best.key").alias("pivot")), "jaccard-pivots")
-    return materialize(cells.join(best, "cell"), "jaccard-cells")
+    out = materialize(cells.join(best, "cell"), "jaccard-cells")
+    discard(best)
+    return out
 
 
 def _remaining(cells: DataFrame, told: DataFrame | None, labels: DataFrame) -> DataFrame:
@@ -338,10 +345,12 @@ def _remaining(cells: DataFrame, told: DataFrame | None, labels: DataFrame) -> D
         d = told.select(F.col("a").alias("pivot"), F.col("b").alias("key"), (1 - F.col("inter") / F.col("uni")).alias("d"))
         keep = keep.join(d, ["pivot", "key"], "left")
     keep = keep.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    keep = materialize(keep.select("cell", "key", "n", "at", "order", "d", "component"), "jaccard-kept-cells")
+    keep = kept = materialize(keep.select("cell", "key", "n", "at", "order", "d", "component"), "jaccard-kept-cells")
     held = keep.groupBy("cell", "component").agg(F.count(F.lit(1)).alias("m"))
     tops = held.groupBy("cell").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("all"))
     tops = materialize(tops.where("top.m < all").select("cell", F.col("top.component").alias("_top")), "jaccard-tops")
     keep = keep.join(tops, "cell").withColumn("major", F.col("_top") == F.col("component")).drop("_top")
-    keep = materialize(keep, "jaccard-split-cells")
-    return _with_pivot(keep, keep.where("major"))
+    split = materialize(keep, "jaccard-split-cells")
+    out = _with_pivot(split, split.where("major"))
+    discard(kept, tops, split)
+    return out

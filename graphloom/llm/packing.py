@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, materialize
+from .common import byte_slices, discard, materialize, settle
 from .tokens import default_vocabulary, encoder
 
 END_TOKEN = 2
@@ -162,11 +162,14 @@ def place(items: DataFrame, room: int = ROOM, most: int = 100_000) -> DataFrame:
     first = F.when(2 * F.col("length") > room, GAP).otherwise(PIECE)
     size = F.when(2 * F.col("length") > room, room - F.col("length")).otherwise(F.col("length"))
     state = items.select(first.alias("kind"), F.col("rid").alias("id"), size.alias("size")).where("size > 0")
-    rows, placed = state.count(), [alone]
+    rows, placed, before = state.count(), [alone], None
     for _ in range(most):
         if not rows:
             break
         swept = _swept(state, rows)
+        if before is not None:
+            discard(before)  # the next state is written
+        before = swept
         counts, hits, rest = {}, 0, 0
         for r in swept.groupBy("part", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("tokens")).collect():  # three rows a range
             if r["kind"] == MATCH:
@@ -185,12 +188,12 @@ def place(items: DataFrame, room: int = ROOM, most: int = 100_000) -> DataFrame:
             y = swept.where(F.col("kind") == GAP).join(F.broadcast(b), "part").where("idx >= low and idx < high").select((F.col("key") + F.col("idx") - F.col("low")).alias("key"), F.col("id").alias("mate"), F.col("size").alias("gap"))
             met = met.unionByName(x.join(y, "key").drop("key"))
         if hits:
-            met = materialize(met, "packing-met")
+            met = materialize(met.coalesce(-(-hits // RANGE_ROWS)), "packing-met")
             placed.append(met.select(F.col("id").alias("rid"), F.col("mate").alias("sequence_id"), (room - F.col("gap")).alias("offset")))
             fresh, opened = met.select(F.lit(GAP).alias("kind"), F.col("mate").alias("id"), (F.col("gap") - F.col("size")).alias("size")).where("size > 0"), []
         else:
             opened, stack = _top(stack, -(-rest // room))
-            new = _within(left, opened)
+            new = materialize(_within(left, opened), "packing-opened")
             placed.append(new.select(F.col("id").alias("rid"), F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
             fresh = new.select(F.lit(GAP).alias("kind"), "id", (room - F.col("size")).alias("size")).where("size > 0")
         unplaced = sum(high - low for _, low, high in stack)
@@ -209,5 +212,5 @@ def place(items: DataFrame, room: int = ROOM, most: int = 100_000) -> DataFrame:
 def pack(docs: DataFrame, vocabulary: str | None = None, room: int = ROOM) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece."""
     cut_up = materialize(pieces(docs, vocabulary, room), "packing-pieces")
-    found = place(cut_up.select("rid", "length"), room)
+    found = settle(lambda: place(cut_up.select("rid", "length"), room), "packing-places")
     return cut_up.join(found, "rid").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
