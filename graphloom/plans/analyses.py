@@ -48,9 +48,9 @@ def _(s, d):
     return a.unreferenced(provided, _event_edges(s, d), ["queries"])
 
 
-@query("stale_flags", "WITH n AS (SELECT max(ts) AS m FROM events) SELECT event_id % 397 AS flag, count(*) AS n FROM events, n GROUP BY 1 HAVING max(ts) < any_value(m) - INTERVAL 2 DAY")
+@query("stale_flags", "WITH n AS (SELECT max(ts) AS m FROM events) SELECT event_id % 3989 AS flag, count(*) AS n FROM events, n GROUP BY 1 HAVING max(ts) < any_value(m) - INTERVAL 2 DAY")
 def _(s, d):
-    e = table(s, d, "events").withColumn("flag", F.col("event_id") % 397)
+    e = table(s, d, "events").withColumn("flag", F.col("event_id") % 3989)
     last = e.agg(F.max("ts")).first()[0]
     return a.stale(e, "flag", "ts", F.lit(last) - F.expr("INTERVAL 2 DAYS"))
 
