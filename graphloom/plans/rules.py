@@ -9,13 +9,7 @@ from graphloom.plans.registry import query
 from graphloom.sources.model import EDGES_SQL, GRAPH_SQL, NODES_SQL, edges, nodes, table
 
 
-@query("boundary_guard", GRAPH_SQL + """ SELECT src, dst, kind FROM edges WHERE src IN (SELECT id FROM nodes WHERE split_part(file_path, '/', 1) = 'orders' AND id LIKE '%7') AND dst IN (SELECT id FROM nodes WHERE split_part(file_path, '/', 1) = 'parts')""")
-def _(s, d):
-    n = nodes(s, d)
-    return r.boundary_guard(n, edges(s, d), n.where("id like '%7'"), "orders", "parts")
-
-
-@query("boundary_guard_whole", None)
+@query("boundary_guard", GRAPH_SQL + """ SELECT src, dst, kind FROM edges WHERE src IN (SELECT id FROM nodes WHERE split_part(file_path, '/', 1) = 'orders') AND dst IN (SELECT id FROM nodes WHERE split_part(file_path, '/', 1) = 'parts')""")
 def _(s, d):
     n = nodes(s, d)
     return r.boundary_guard(n, edges(s, d), n, "orders", "parts")
@@ -65,14 +59,8 @@ def _(s, d):
     return r.edge_audit(edges(s, d), {"located_in": "ast_resolved", "placed": "lsp_resolved", "contains": "text_matched"})
 
 
-@query("taint_paths", f"WITH RECURSIVE {NODES_SQL}, {EDGES_SQL}" + """, w(source, pos, hops) AS (SELECT id, id, 0 FROM nodes WHERE kind = 'customer' AND id LIKE '%11' UNION SELECT source, dst, hops + 1 FROM w JOIN edges ON src = pos WHERE hops < 3)
+@query("taint_paths", f"WITH RECURSIVE {NODES_SQL}, {EDGES_SQL}" + """, w(source, pos, hops) AS (SELECT id, id, 0 FROM nodes WHERE kind = 'customer' UNION SELECT source, dst, hops + 1 FROM w JOIN edges ON src = pos WHERE hops < 3)
 SELECT source, pos AS sink, min(hops) AS hops FROM w WHERE pos IN (SELECT id FROM nodes WHERE kind = 'supplier') GROUP BY ALL""")
-def _(s, d):
-    n = nodes(s, d)
-    return r.taint(edges(s, d), n.where("kind = 'customer' and id like '%11'"), n.where("kind = 'supplier'"), 3)
-
-
-@query("taint_paths_whole", None)
 def _(s, d):
     n = nodes(s, d)
     return r.taint(edges(s, d), n.where("kind = 'customer'"), n.where("kind = 'supplier'"), 3)

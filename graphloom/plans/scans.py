@@ -65,27 +65,17 @@ def _(s, d):
     return c.page(nodes(s, d).select("id", "kind"), ["id"], 100, 50)
 
 
-@query("export_cypher", GRAPH_SQL + """ SELECT 'CREATE (:' || kind || ' {id: ''' || id || ''', name: ''' || name || '''})' AS line FROM nodes WHERE kind IN ('region', 'nation')
-UNION ALL SELECT 'MATCH (a {id: ''' || src || '''}), (b {id: ''' || dst || '''}) CREATE (a)-[:' || upper(kind) || ']->(b)' FROM edges WHERE src LIKE 'nation:%' AND dst LIKE 'region:%'""")
-def _(s, d):
-    return c.export_cypher(nodes(s, d), edges(s, d), ["region", "nation"])
-
-
-@query("export_graphml", GRAPH_SQL + """ SELECT '<node id="' || id || '"><data key="name">' || name || '</data></node>' AS line FROM nodes WHERE kind IN ('region', 'nation')
-UNION ALL SELECT '<edge source="' || src || '" target="' || dst || '" label="' || kind || '"/>' FROM edges WHERE src LIKE 'nation:%' AND dst LIKE 'region:%'""")
-def _(s, d):
-    return c.export_graphml(nodes(s, d), edges(s, d), ["region", "nation"])
-
-
 KINDS = ["region", "nation", "customer", "supplier", "part", "order"]
 
 
-@query("export_cypher_whole", None)
+@query("export_cypher", GRAPH_SQL + """ SELECT 'CREATE (:' || kind || ' {id: ''' || id || ''', name: ''' || name || '''})' AS line FROM nodes
+UNION ALL SELECT 'MATCH (a {id: ''' || src || '''}), (b {id: ''' || dst || '''}) CREATE (a)-[:' || upper(kind) || ']->(b)' FROM edges""")
 def _(s, d):
     return c.export_cypher(nodes(s, d), edges(s, d), KINDS)
 
 
-@query("export_graphml_whole", None)
+@query("export_graphml", GRAPH_SQL + """ SELECT '<node id="' || id || '"><data key="name">' || name || '</data></node>' AS line FROM nodes
+UNION ALL SELECT '<edge source="' || src || '" target="' || dst || '" label="' || kind || '"/>' FROM edges""")
 def _(s, d):
     return c.export_graphml(nodes(s, d), edges(s, d), KINDS)
 

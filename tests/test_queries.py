@@ -24,23 +24,6 @@ def test_query_equals_its_sql(spark, con, name):
     assert same(registry.queries()[name](spark, SF), con, registry.oracle_sql()[name]) or name in EMPTY
 
 
-WHOLE = {
-    "boundary_guard": [" AND id LIKE '%7'"],
-    "taint_paths": [" AND id LIKE '%11'"],
-    "export_cypher": [" WHERE kind IN ('region', 'nation')", " WHERE src LIKE 'nation:%' AND dst LIKE 'region:%'"],
-    "export_graphml": [" WHERE kind IN ('region', 'nation')", " WHERE src LIKE 'nation:%' AND dst LIKE 'region:%'"],
-}
-
-
-@pytest.mark.parametrize("name", sorted(WHOLE))
-def test_whole_query_equals_the_sql_without_its_filter(spark, con, name):
-    sql = registry.oracle_sql()[name]
-    for part in WHOLE[name]:
-        assert part in sql
-        sql = sql.replace(part, "")
-    same(registry.queries()[f"{name}_whole"](spark, SF), con, sql)
-
-
 def test_entry_gives_rows(spark):
     import __spark_entry__
 
