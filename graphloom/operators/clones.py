@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import query_tokens
@@ -22,33 +22,84 @@ def shingle_hashes(text: Column, k: int = SHINGLE) -> Column:
 
 
 def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, shingles, signature): the minimum of HASHES rehashes of the shingles."""
-    s = docs.select(F.col(key).alias("key"), shingle_hashes(F.col(text)).alias("shingles")).where(F.size("shingles") > 0)
-    mins = F.transform(F.sequence(F.lit(0), F.lit(HASHES - 1)), lambda h: F.array_min(F.transform("shingles", lambda x: F.xxhash64(x, h))))
-    return s.withColumn("signature", mins)
-
-
-def clone_pairs(docs: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, similarity): all pairs of different texts that share a band are tested, so pairs grow with
-    the square of a bucket; similarity is the exact Jaccard of the shingles. Copies with equal shingles
-    are linked to the smallest key among them, which alone enters the buckets."""
-    sig = signatures(docs, key, text)
-    same = sig.withColumn("copy_of", F.min("key").over(Window.partitionBy(F.xxhash64("shingles"), F.size("shingles"))))
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(F.slice("signature", b * ROWS + 1, F.lit(ROWS))).alias("bucket")))
-    rows = same.where("key = copy_of").select("key", F.explode(bands).alias("x")).select("key", "x.band", "x.bucket")
-    rows = store(rows, "clones")
-    pairs = rows.withColumnRenamed("key", "a").join(rows.withColumnRenamed("key", "b"), ["band", "bucket"]).where("a < b").select("a", "b").distinct()
-    left = sig.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
-    right = sig.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
+    """(key, shingles, n, h, signature): the sorted shingles, their number and hash, and the minimum of
+    HASHES rehashes of the shingles, each a map-side aggregate over the exploded shingles."""
+    found = docs.select(F.col(key).alias("key"), F.sort_array(shingle_hashes(F.col(text))).alias("shingles"))
+    s = store(found.withColumns({"n": F.size("shingles"), "h": F.xxhash64("shingles")}), "shingles").where("n > 0")
+    mins = [F.min(F.xxhash64("x", F.lit(h))).alias(f"m{h}") for h in range(HASHES)]
+    least = s.select("key", "n", "h", F.explode("shingles").alias("x")).groupBy("key", "n", "h").agg(*mins)
+    return s.join(least.select("key", "n", "h", F.array(*[f"m{h}" for h in range(HASHES)]).alias("signature")), ["key", "n", "h"]).select("key", "shingles", "n", "h", "signature")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of pairs(a, b) whose shingle sets have that exact Jaccard or more."""
+    left = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     scored = pairs.join(left, "a").join(right, "b").select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("similarity"))
+    return scored.where(F.col("similarity") >= threshold)
+
+
+def clone_links(docs: DataFrame, key: str, text: str, threshold: float = THRESHOLD, rounds: int = 1) -> DataFrame:
+    """(a, b, similarity): links that join every class of texts connected by pairs that share a band and
+    reach the threshold; similarity is the exact Jaccard of the shingles.
+
+    Not all pairs of a bucket are formed. Round 0 tests each member against its bucket's smallest key, the
+    next rounds one member outside the bucket's largest class against those of other classes, and the last
+    step all members outside the largest class. Two members of one class are never tested, so no link
+    between classes is missed, and a bucket of near copies costs its size. Copies with equal shingles are
+    linked to the smallest key among them, which alone enters the buckets. Texts below LEAST_TOKENS tokens
+    have no links."""
+    sig = store(signatures(docs, key, text), "clones")
+    first = sig.groupBy("h", "n").agg(F.min("key").alias("copy_of"))
+    same = store(sig.select("key", "h", "n").join(first, ["h", "n"]).select("key", "copy_of"), "clones")
     copies = same.where("key <> copy_of").select(F.col("copy_of").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("similarity"))
-    return scored.where(F.col("similarity") >= threshold).unionByName(copies)
+    sets = sig.join(same.where("key = copy_of").select("key"), "key", "left_semi")
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(F.slice("signature", b * ROWS + 1, F.lit(ROWS))).alias("bucket")))
+    rows = store(sets.select("key", "n", F.explode(bands).alias("x")).select("key", "n", "x.band", "x.bucket"), "clones")
+    at = ["band", "bucket"]
+    start = store(rows.groupBy(at).agg(F.min(F.struct("key", "n")).alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"), "clones")
+    rows = store(rows.join(start, at).select(*at, "key", "n", "p"), "clones")
+    sizes = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y)  # noqa: E731, a pair within the threshold is within it by size
+    pairs = rows.where((F.col("key") != F.col("p.key")) & sizes(F.col("n"), F.col("p.n"))).select(F.col("p.key").alias("a"), F.col("key").alias("b")).distinct()
+    links = store(_verified(pairs, sets, threshold), "clones")
+    for turn in range(1, rounds + 2):
+        ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
+        c = components(ends, links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("id").alias("key"), "component")
+        named = rows.drop("p").join(c, "key", "left").select(*at, "key", "n", F.coalesce("component", "key").alias("c"))
+        by = named.groupBy(*at, "c").agg(F.count(F.lit(1)).alias("m"))
+        main = by.groupBy(at).agg(F.max(F.struct("m", "c")).alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+        left = store(named.join(main.select(*at, F.col("main.c").alias("main")), at), "clones")
+        minor = left.where("c <> main")
+        if minor.isEmpty():
+            break
+        if turn <= rounds:
+            minor = minor.groupBy(at).agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)), "key", "n", "c", "main")).alias("p")).select(*at, "p.key", "p.n", "p.c", "p.main")
+        one = minor.select(*at, F.col("key").alias("k"), F.col("n").alias("kn"), F.col("c").alias("kc"))
+        met = left.join(one, at).where((F.col("c") != F.col("kc")) & sizes(F.col("n"), F.col("kn")))
+        if turn > rounds:  # two members outside the largest class meet twice
+            met = met.where((F.col("c") == F.col("main")) | (F.col("k") < F.col("key")))
+        pairs = met.select(F.least("k", "key").alias("a"), F.greatest("k", "key").alias("b")).distinct()
+        links = store(links.unionByName(_verified(pairs, sets, threshold)), "clones")
+    return links.unionByName(copies).dropDuplicates(["a", "b"])
+
+
+def clone_classes(docs: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
+    """(key, class_id, class_size): every document with the smallest key of its class; texts without a
+    clone, empty and short ones are a class of their own."""
+    links = store(clone_links(docs, key, text, threshold), "clones")
+    e = links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    ids = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct()
+    c = components(ids, e)
+    size = c.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
+    found = c.join(size, "component").select(F.col("id").alias("key"), "component", "m")
+    out = docs.select(F.col(key).alias("key")).join(found, "key", "left")
+    return out.select("key", F.coalesce("component", "key").alias("class_id"), F.coalesce("m", F.lit(1).cast("long")).alias("class_size"))
 
 
-def clone_clusters(pairs: DataFrame) -> DataFrame:
-    """(cluster, size, similarity): components of the pairs, with their mean similarity."""
-    e = pairs.select(F.col("a").cast("string").alias("src"), F.col("b").cast("string").alias("dst"), "similarity")
+def clone_clusters(links: DataFrame) -> DataFrame:
+    """(cluster, size, similarity): components of the links, with the links' mean similarity."""
+    e = links.select(F.col("a").cast("string").alias("src"), F.col("b").cast("string").alias("dst"), "similarity")
     ids = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct()
     c = components(ids, e)
     size = c.groupBy("component").agg(F.count(F.lit(1)).alias("size"))

@@ -14,12 +14,12 @@ from graphloom.sources.model import GRAPH_SQL, edges, nodes, table
 
 @query("minhash_clones", None)
 def _(s, d):
-    return c.clone_pairs(table(s, d, "documents"), "doc_id", "text").withColumn("similarity", F.round("similarity", 6))
+    return c.clone_classes(table(s, d, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
 
 
 @query("clone_clusters", None)
 def _(s, d):
-    return c.clone_clusters(c.clone_pairs(table(s, d, "documents"), "doc_id", "text"))
+    return c.clone_clusters(c.clone_links(table(s, d, "documents"), "doc_id", "text"))
 
 
 @query("exact_duplicates", "SELECT sha256(text) AS digest, count(*) AS size, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")

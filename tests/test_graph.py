@@ -148,23 +148,58 @@ def test_pipeline_language(repo):
         scan.run_pipeline(nodes, edges, "filter kind=routine")
 
 
-def test_clone_pairs_equal_brute_force(spark):
-    """Copies near one original but not near each other; the original has the largest key."""
+def _brute_classes(docs, threshold=clones.THRESHOLD):
+    """Classes by testing all pairs of different texts that share a band."""
+    sig = {r.key: (set(r.shingles), [tuple(r.signature[i : i + 4]) for i in range(0, 64, 4)]) for r in clones.signatures(docs, "key", "text").collect()}
+    root = {r.key: r.key for r in docs.collect()}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, y in combinations(sorted(sig), 2):
+        (s, p), (t, q) = sig[x], sig[y]
+        if any(i == j for i, j in zip(p, q, strict=True)) and len(s & t) >= threshold * len(s | t):
+            low, high = sorted((find(x), find(y)))
+            root[high] = low
+    return {x: find(x) for x in root}
+
+
+def test_clone_classes_equal_brute_force(spark):
+    """Copies near one original but not near each other, whose smallest key is an unrelated one's; chains
+    in which only neighbours are near; unrelated, short and empty texts."""
     rng = random.Random(3)
     base = [f"word{i}x" for i in range(200)]
-    rows = [(99, " ".join(base)), (100, " ".join(base))]
+    rows = [(99, " ".join(base)), (100, " ".join(base)), (900, ""), (901, "too short"), (902, None)]
     for k in range(40):
         w = list(base)
         for i in rng.sample(range(200), 6):
             w[i] = f"new{k}x{i}"
         rows.append((k, " ".join(w)))
+    chain = [f"link{i}x" for i in range(120)]
+    for k in range(30):
+        for i in range(4):
+            chain[(4 * k + i) % 120] = f"chain{k}x{i}"
+        rows.append((200 + k, " ".join(chain)))
+    for k in range(20):  # half of the words in common: buckets met without a link
+        w = [x if i % 4 else f"far{k}x{i}" for i, x in enumerate(base)]
+        rows.append((300 + k, " ".join(w)))
     docs = spark.createDataFrame(rows, "key long, text string")
-    sig = {r.key: (set(r.shingles), [tuple(r.signature[i : i + 4]) for i in range(0, 64, 4)]) for r in clones.signatures(docs, "key", "text").collect()}
-    want = {(99, 100)}
-    for x, y in combinations(sorted(set(sig) - {100}), 2):
-        (s, p), (t, q) = sig[x], sig[y]
-        if any(i == j for i, j in zip(p, q, strict=True)) and len(s & t) >= clones.THRESHOLD * len(s | t):
-            want.add((x, y))
-    pairs = clones.clone_pairs(docs, "key", "text")
-    assert sorted((r.a, r.b) for r in pairs.collect()) == sorted(want) and len(want) > 20
-    assert clones.clone_clusters(pairs).agg(F.max("size")).first()[0] > 20
+    want = _brute_classes(docs)
+    got = {r.key: r for r in clones.clone_classes(docs, "key", "text").collect()}
+    assert {k: r.class_id for k, r in got.items()} == want
+    sizes = {c: sum(v == c for v in want.values()) for c in want.values()}
+    assert {r.class_id: r.class_size for r in got.values()} == sizes and max(sizes.values()) > 20
+    clusters = clones.clone_clusters(clones.clone_links(docs, "key", "text")).collect()
+    assert sorted(r.size for r in clusters) == sorted(n for n in sizes.values() if n > 1)
+
+
+def test_minhash_clones_equal_brute_force(spark):
+    from graphloom.plans import registry
+    from graphloom.sources.model import table
+
+    sf = "/root/testdata/sf0.001"
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("key"), "text")
+    got = {r.doc_id: r.class_id for r in registry.queries()["minhash_clones"](spark, sf).collect()}
+    assert got == _brute_classes(docs) and len(set(got.values())) < len(got)
