@@ -22,19 +22,19 @@ def shingle_hashes(text: Column, k: int = SHINGLE) -> Column:
 
 
 def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, shingles, n, h, signature): the sorted shingles, their number and hash, and the minimum of
-    HASHES rehashes of the shingles, each a map-side aggregate over the exploded shingles."""
+    """(key, n, h, signature): number and hash of the sorted shingles, and the minimum of HASHES rehashes
+    of the shingles, each a map-side aggregate, so that no shingle is stored or shuffled."""
     found = docs.select(F.col(key).alias("key"), F.sort_array(shingle_hashes(F.col(text))).alias("shingles"))
-    s = store(found.withColumns({"n": F.size("shingles"), "h": F.xxhash64("shingles")}), "shingles").where("n > 0")
     mins = [F.min(F.xxhash64("x", F.lit(h))).alias(f"m{h}") for h in range(HASHES)]
-    least = s.select("key", "n", "h", F.explode("shingles").alias("x")).groupBy("key", "n", "h").agg(*mins)
-    return s.join(least.select("key", "n", "h", F.array(*[f"m{h}" for h in range(HASHES)]).alias("signature")), ["key", "n", "h"]).select("key", "shingles", "n", "h", "signature")
+    spread = found.select("key", F.size("shingles").alias("n"), F.xxhash64("shingles").alias("h"), F.explode("shingles").alias("x"))
+    return spread.groupBy("key", "n", "h").agg(*mins).select("key", "n", "h", F.array(*[f"m{h}" for h in range(HASHES)]).alias("signature"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity) of pairs(a, b) whose shingle sets have that exact Jaccard or more."""
-    left = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
+    pairs = store(pairs, "clones")
+    left = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")).join(pairs.select("a").distinct(), "a", "left_semi")
+    right = sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")).join(pairs.select("b").distinct(), "b", "left_semi")
     both = F.size(F.array_intersect("x", "y"))
     scored = pairs.join(left, "a").join(right, "b").select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("similarity"))
     return scored.where(F.col("similarity") >= threshold)
@@ -54,12 +54,14 @@ def clone_links(docs: DataFrame, key: str, text: str, threshold: float = THRESHO
     first = sig.groupBy("h", "n").agg(F.min("key").alias("copy_of"))
     same = store(sig.select("key", "h", "n").join(first, ["h", "n"]).select("key", "copy_of"), "clones")
     copies = same.where("key <> copy_of").select(F.col("copy_of").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("similarity"))
-    sets = sig.join(same.where("key = copy_of").select("key"), "key", "left_semi")
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(F.slice("signature", b * ROWS + 1, F.lit(ROWS))).alias("bucket")))
-    rows = store(sets.select("key", "n", F.explode(bands).alias("x")).select("key", "n", "x.band", "x.bucket"), "clones")
+    alone = sig.join(same.where("key = copy_of").select("key"), "key", "left_semi")
+    rows = store(alone.select("key", "n", F.explode(bands).alias("x")).select("key", "n", "x.band", "x.bucket"), "clones")
     at = ["band", "bucket"]
     start = store(rows.groupBy(at).agg(F.min(F.struct("key", "n")).alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"), "clones")
     rows = store(rows.join(start, at).select(*at, "key", "n", "p"), "clones")
+    met = docs.select(F.col(key).alias("key"), F.col(text).alias("t")).join(rows.select("key").distinct(), "key", "left_semi")
+    sets = store(met.select("key", shingle_hashes(F.col("t")).alias("shingles")), "shingles")
     sizes = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y)  # noqa: E731, a pair within the threshold is within it by size
     pairs = rows.where((F.col("key") != F.col("p.key")) & sizes(F.col("n"), F.col("p.n"))).select(F.col("p.key").alias("a"), F.col("key").alias("b")).distinct()
     links = store(_verified(pairs, sets, threshold), "clones")

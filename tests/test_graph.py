@@ -150,7 +150,8 @@ def test_pipeline_language(repo):
 
 def _brute_classes(docs, threshold=clones.THRESHOLD):
     """Classes by testing all pairs of different texts that share a band."""
-    sig = {r.key: (set(r.shingles), [tuple(r.signature[i : i + 4]) for i in range(0, 64, 4)]) for r in clones.signatures(docs, "key", "text").collect()}
+    sets = {r.key: set(r.s) for r in docs.select("key", clones.shingle_hashes(F.col("text")).alias("s")).collect() if r.s}
+    sig = {r.key: (sets[r.key], [tuple(r.signature[i : i + 4]) for i in range(0, 64, 4)]) for r in clones.signatures(docs, "key", "text").collect()}
     root = {r.key: r.key for r in docs.collect()}
 
     def find(x):
