@@ -204,3 +204,27 @@ def test_minhash_clones_equal_brute_force(spark):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("key"), "text")
     got = {r.doc_id: r.class_id for r in registry.queries()["minhash_clones"](spark, sf).collect()}
     assert got == _brute_classes(docs) and len(set(got.values())) < len(got)
+
+
+def test_vector_topk_equals_brute_force(spark):
+    """Ties after rounding go by key; zero, null and shorter vectors have no cosine; nothing but k rows a query
+    and task leaves the search."""
+    from graphloom.operators import search
+
+    rng = random.Random(9)
+    base = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(40)]
+    rows = [(i, [x + 1e-9 * (i % 7) for x in base[i % 40]]) for i in range(700)]
+    rows += [(700, [0.0] * 8), (701, None), (702, [1.0, 2.0]), (703, [float(i) for i in range(8)])]
+    df = spark.createDataFrame(rows, "vid long, v array<double>").repartition(5)
+    found = search.vector_topk(df.where("vid % 100 < 4").withColumnsRenamed({"vid": "qid", "v": "q"}), df, 10)
+    plan = found._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    got = {}
+    for r in found.orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append((r.vid, r.score))
+    dot = lambda x, y: sum(p * q for p, q in zip(x, y, strict=True))
+    whole = {k: v for k, v in rows if v and any(v)}
+    for q in [k for k in whole if k % 100 < 4]:
+        score = [(-round(dot(whole[q], v) / (dot(v, v) * dot(whole[q], whole[q])) ** 0.5, 6), k) for k, v in whole.items() if k != q and len(v) == len(whole[q])]
+        assert got.pop(q, []) == [(k, -s) for s, k in sorted(score)[:10]]
+    assert not got
