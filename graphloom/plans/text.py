@@ -65,10 +65,8 @@ n AS (SELECT qid, count(*) AS n FROM g GROUP BY 1), h AS (SELECT k.qid, rank, CA
 SELECT h.qid, max(rel) AS recall_any, round(sum(rel) / 10, 6) AS precision, round(max(rel / rank), 6) AS rr, round(sum(rel / log2(rank + 1)) / any_value((SELECT sum(1 / log2(i + 1)) FROM range(1, least(n, 10)::INT + 1) t(i))), 6) AS ndcg
 FROM h JOIN n USING (qid) GROUP BY h.qid""")
 def _(s, d):
-    e = table(s, d, "embeddings")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "label")
-    judged = q.join(e.select(F.col("vec_id").alias("key"), "label"), "label").where("qid <> key").select("qid", "key")
-    return r.evaluate(_vectors(s, d).withColumnRenamed("vid", "key"), judged)
+    classes = table(s, d, "embeddings").select(F.col("vec_id").alias("key"), "label")
+    return r.evaluate_classes(_vectors(s, d).withColumnRenamed("vid", "key"), classes)
 
 
 @query("alpha_rrf", _BM25 + """, t2 AS (SELECT key, row_number() OVER (ORDER BY score DESC, key) - 1 AS rt FROM c ORDER BY score DESC, key LIMIT 20),
