@@ -228,3 +228,19 @@ def test_vector_topk_equals_brute_force(spark):
         score = [(-round(dot(whole[q], v) / (dot(v, v) * dot(whole[q], whole[q])) ** 0.5, 6), k) for k, v in whole.items() if k != q and len(v) == len(whole[q])]
         assert got.pop(q, []) == [(k, -s) for s, k in sorted(score)[:10]]
     assert not got
+
+
+def test_reaching_definitions_need_no_rounds(spark):
+    """A chain of 300 blocks with a back edge and a skip; another function with a variable that is never
+    redefined; and no table is stored on the way."""
+    from graphloom.operators import analysis
+
+    defs = [("f", 0, "x"), ("f", 150, "y"), ("f", 299, "x"), ("g", 1, None), ("g", 2, "x")]
+    flow = [("f", i, i + 1) for i in range(299)] + [("f", 299, 0), ("f", 298, 5), ("g", 1, 2), ("g", 2, 3), ("h", 1, 2), (None, 1, 2)]
+    d = spark.createDataFrame(defs, "func string, block long, var string")
+    found = analysis.reaching_definitions(d, spark.createDataFrame(flow, "func string, a long, b long"))
+    plan = found._jdf.queryExecution().toString()
+    assert "Join" not in plan and "FlatMapGroupsInArrow" in plan
+    got = {tuple(r) for r in found.collect()}
+    want = {("f", "x", 0, b) for b in range(1, 300)} | {("f", "y", 150, b) for b in range(300)} | {("f", "x", 299, 0)}
+    assert got == want | {("g", None, 1, 2), ("g", None, 1, 3), ("g", "x", 2, 3)}
