@@ -244,3 +244,28 @@ def test_reaching_definitions_need_no_rounds(spark):
     got = {tuple(r) for r in found.collect()}
     want = {("f", "x", 0, b) for b in range(1, 300)} | {("f", "y", 150, b) for b in range(300)} | {("f", "x", 299, 0)}
     assert got == want | {("g", None, 1, 2), ("g", None, 1, 3), ("g", "x", 2, 3)}
+
+
+def test_rounds_move_only_the_sums_of_blocks(spark, monkeypatch):
+    """A round over the dealt-out edges has one exchange, that of sums; results do not hang on the number of
+    buckets and blocks."""
+    from graphloom.operators import blocks
+
+    monkeypatch.setattr(blocks, "BUCKET_EDGES", 20)
+    monkeypatch.setattr(blocks, "BLOCK", 2)
+    rng = random.Random(4)
+    pairs = [(f"n{rng.randrange(50)}", f"n{rng.randrange(50)}", rng.randrange(1, 4)) for _ in range(90)]
+    e = spark.createDataFrame(pairs, "src string, dst string, weight long")
+    ids = spark.createDataFrame([(f"n{i}",) for i in range(50)], "id string")
+    web = blocks.Web(ids, e, "test")
+    state, links = web.state(web.names.select("no", F.lit(1.0).alias("x"))), web.links(web.met)
+    with blocks._by_block(spark):
+        plan = web.sent(state, links, F.col("x") * F.col("w"), F.sum)._jdf.queryExecution().executedPlan().toString()
+    assert web.buckets == 5 and plan.count("Exchange") == 1
+    got = {r.id: r.rank for r in a.pagerank(ids, e, 5).collect()}
+    out = {i: sum(w for s, _, w in pairs if s == i) for i in got}
+    rank = dict.fromkeys(got, 1 / 50)
+    for _ in range(5):
+        lost = sum(x for i, x in rank.items() if not out[i])
+        rank = {i: 0.15 / 50 + 0.85 * (sum(rank[s] * w / out[s] for s, d, w in pairs if d == i) + lost / 50) for i in rank}
+    assert got.keys() == rank.keys() and all(abs(got[i] - x) < 1e-12 for i, x in rank.items())
