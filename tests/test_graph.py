@@ -269,3 +269,12 @@ def test_rounds_move_only_the_sums_of_blocks(spark, monkeypatch):
         lost = sum(x for i, x in rank.items() if not out[i])
         rank = {i: 0.15 / 50 + 0.85 * (sum(rank[s] * w / out[s] for s, d, w in pairs if d == i) + lost / 50) for i in rank}
     assert got.keys() == rank.keys() and all(abs(got[i] - x) < 1e-12 for i, x in rank.items())
+
+
+def test_graph_edges_are_grouped_by_keys(spark):
+    """Edges are counted by the keys of the tables, not by ids as text."""
+    from graphloom.sources import model
+
+    for _, part in model._built_edges(spark, "/root/testdata/sf0.001"):
+        moved = [x for x in part._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+        assert moved and not any("src" in x or "dst" in x for x in moved)
