@@ -278,3 +278,29 @@ def test_graph_edges_are_grouped_by_keys(spark):
     for _, part in model._built_edges(spark, "/root/testdata/sf0.001"):
         moved = [x for x in part._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
         assert moved and not any("src" in x or "dst" in x for x in moved)
+
+
+def test_impact_stores_no_pairs(spark, monkeypatch):
+    """150 seeds on a random graph against sets; what is stored of a tier is a row for each node and 64 seeds,
+    and the last tier is not stored."""
+    from graphloom.operators import analysis
+
+    rng = random.Random(8)
+    pairs = sorted({(f"n{rng.randrange(300)}", f"n{rng.randrange(300)}") for _ in range(900)})
+    weak = {p for p in pairs if p[0].endswith("3")}
+    e = spark.createDataFrame(pairs, "src string, dst string")
+    seeds = [f"n{i}" for i in range(150)]
+    made = []
+    keep = analysis.store
+    monkeypatch.setattr(analysis, "store", lambda df, label: made.append(keep(df, label)) or made[-1])
+    found = analysis.impact(spark.createDataFrame([(s,) for s in seeds], "id string"), e, F.col("src").like("%3"))
+    got = {r.seed: (r.tier1, r.tier2, r.tier3, r.total, r.direct) for r in found.collect()}
+    for s in seeds:
+        tiers, seen = [{s}], {s}
+        for k in range(3):
+            near = {x for x, y in pairs if y in tiers[-1] and (k == 0 or (x, y) not in weak)} - seen
+            tiers.append(near)
+            seen |= near
+        n = [len(x) for x in tiers[1:]]
+        assert got.pop(s) == (*n, sum(n), n[0])
+    assert not got and len(made) == 5 and all(x.count() <= 300 * 3 for x in made[2:])
