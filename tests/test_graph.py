@@ -304,3 +304,15 @@ def test_impact_stores_no_pairs(spark, monkeypatch):
         n = [len(x) for x in tiers[1:]]
         assert got.pop(s) == (*n, sum(n), n[0])
     assert not got and len(made) == 5 and all(x.count() <= 300 * 3 for x in made[2:])
+
+
+def test_leiden_moves_refines_and_aggregates(spark):
+    """In one task and in rounds: cliques in a ring are found, and communities are connected inside."""
+    from graphloom.operators.communities import Partition
+
+    e = [(f"n{c}{i}", f"n{c}{j}") for c in range(6) for i, j in combinations(range(5), 2)] + [(f"n{c}0", f"n{(c + 1) % 6}1") for c in range(6)]
+    edges = spark.createDataFrame([(x, y, 1) for x, y in e] + [("n00", "gone", 5)], "src string, dst string, weight long")
+    ids = spark.createDataFrame([(f"n{c}{i}",) for c in range(6) for i in range(5)] + [("alone",)], "id string")
+    for refined, most in ((True, None), (True, 40), (False, 40)):
+        got = {r.id: r.community for r in Partition(ids, edges, refined, one_task=most).by_id().collect()}
+        assert got == {"alone": "alone"} | {f"n{c}{i}": f"n{c}0" for c in range(6) for i in range(5)}, (refined, most)
