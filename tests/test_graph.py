@@ -316,3 +316,12 @@ def test_leiden_moves_refines_and_aggregates(spark):
     for refined, most in ((True, None), (True, 40), (False, 40)):
         got = {r.id: r.community for r in Partition(ids, edges, refined, one_task=most).by_id().collect()}
         assert got == {"alone": "alone"} | {f"n{c}{i}": f"n{c}0" for c in range(6) for i in range(5)}, (refined, most)
+
+
+def test_budgeted_walk_ends_when_the_budget_is_spent(spark, repo, monkeypatch):
+    nodes, edges = repo
+    made = []
+    real = traverse.store
+    monkeypatch.setattr(traverse, "store", lambda df, label: made.append(label) or real(df, label))
+    got = [(r.node_id, r.depth) for r in traverse.budgeted_walk(nodes.where("id = 'top'"), edges, 9, 24).collect()]
+    assert got == [("top", 0), ("l1", 1), ("r1", 1)] and len(made) == 2
