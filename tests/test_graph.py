@@ -325,3 +325,16 @@ def test_budgeted_walk_ends_when_the_budget_is_spent(spark, repo, monkeypatch):
     monkeypatch.setattr(traverse, "store", lambda df, label: made.append(label) or real(df, label))
     got = [(r.node_id, r.depth) for r in traverse.budgeted_walk(nodes.where("id = 'top'"), edges, 9, 24).collect()]
     assert got == [("top", 0), ("l1", 1), ("r1", 1)] and len(made) == 2
+
+
+def test_processes_store_no_edges(repo, monkeypatch):
+    from graphloom.operators import analysis
+
+    nodes, edges = repo
+    made = []
+    real = analysis.store
+    monkeypatch.setattr(analysis, "store", lambda df, label: made.append(set(df.columns)) or real(df, label))
+    entries = nodes.where("id = 'mid'").select("id", F.lit(1.0).alias("score"))
+    got = {(r.node_id, r.depth) for r in analysis.processes(entries, edges.unionByName(edges)).collect()}
+    assert got == {("mid", 0), ("l2", 1), ("r2", 1), ("end", 2), ("tail", 3)}
+    assert all("entry" in columns for columns in made)
