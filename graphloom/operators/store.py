@@ -9,11 +9,13 @@ nothing is changed in place.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.sources.scratch import small, store
+
 IDENTITY = ["src", "dst", "kind"]
 
 
@@ -23,6 +25,8 @@ class GraphStore:
     edges: DataFrame
     revision: int = 0
     edge_revision: int = 0
+    #: The snapshot before an eviction of nodes and their ids, for its receipt.
+    evicted: tuple[GraphStore, DataFrame] | None = field(default=None, compare=False, repr=False)
 
     # -- projections of nodes ------------------------------------------------------------------------
     def nodes_light(self) -> DataFrame:
@@ -195,7 +199,8 @@ class GraphStore:
         """Without the nodes and all edges that touch them."""
         gone = ids.select("id").distinct()
         left = self.edges.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
-        return self._next(nodes=self.nodes.join(gone, "id", "left_anti").select(*self.nodes.columns), edges=left.select(*self.edges.columns))
+        new = self._next(nodes=self.nodes.join(gone, "id", "left_anti").select(*self.nodes.columns), edges=left.select(*self.edges.columns))
+        return replace(new, evicted=(self, gone))
 
     def evict_files(self, files: DataFrame) -> GraphStore:
         return self.evict_nodes(self.by_files(files).select("id"))
@@ -214,7 +219,16 @@ class GraphStore:
         return e.select(*self.edges.columns, cross.alias("cross_repo"))
 
     def receipt(self, before: GraphStore) -> DataFrame:
-        """What a mutation did: (what, change, kind, n) of nodes and edges added, removed or changed."""
+        """What a mutation did: (what, change, kind, n) of nodes and edges added, removed or changed. Of an eviction
+        of nodes just before it is counted from their ids, else the two snapshots are compared."""
+        if self.evicted is not None and self.evicted[0] is before:
+            gone = small(store(self.evicted[1].where("id is not null"), "evicted"))
+            from_, to = gone.withColumnRenamed("id", "src"), gone.withColumnRenamed("id", "dst")
+            e = before.edges.select(*IDENTITY)
+            touched = e.join(from_, "src", "left_semi").select("kind").unionByName(e.join(from_, "src", "left_anti").join(to, "dst", "left_semi").select("kind"))
+            rows = before.nodes.join(gone, "id", "left_semi").select(F.lit("node").alias("what"), "kind").unionByName(touched.select(F.lit("edge").alias("what"), "kind"))
+            return rows.groupBy("what", F.lit("removed").alias("change"), "kind").agg(F.count(F.lit(1)).alias("n"))
+
         def diff(what: str, old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
             rest = [c for c in old.columns if c not in key]
             x = old.select(*key, F.xxhash64(*rest).alias("_x"), F.col("kind").alias("_k") if "kind" not in key else F.lit(1).alias("_k"))
@@ -229,7 +243,7 @@ class GraphStore:
     def _next(self, nodes: DataFrame | None = None, edges: DataFrame | None = None) -> GraphStore:
         return replace(
             self, nodes=self.nodes if nodes is None else nodes, edges=self.edges if edges is None else edges,
-            revision=self.revision + 1, edge_revision=self.edge_revision + (edges is not None),
+            revision=self.revision + 1, edge_revision=self.edge_revision + (edges is not None), evicted=None,
         )
 
 

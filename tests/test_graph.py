@@ -338,3 +338,18 @@ def test_processes_store_no_edges(repo, monkeypatch):
     got = {(r.node_id, r.depth) for r in analysis.processes(entries, edges.unionByName(edges)).collect()}
     assert got == {("mid", 0), ("l2", 1), ("r2", 1), ("end", 2), ("tail", 3)}
     assert all("entry" in columns for columns in made)
+
+
+def test_receipt_of_an_eviction_compares_no_snapshots(repo):
+    from dataclasses import replace
+
+    from graphloom.operators.store import GraphStore
+
+    g = GraphStore(*repo)
+    g = replace(g, edges=g.edges.dropDuplicates(["src", "dst", "kind"]))
+    new = g.evict_nodes(g.nodes.where("id in ('mid', 'island')").select("id"))
+    short, full = new.receipt(g), replace(new, evicted=None).receipt(g)
+    row = lambda df: sorted(map(tuple, df.select("what", "change", "kind", "n").collect()))
+    assert row(short) == row(full) == [("edge", "removed", "calls", 5), ("node", "removed", "routine", 2)]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "FullOuter" in plan(full) and "FullOuter" not in plan(short)
