@@ -353,3 +353,45 @@ def test_receipt_of_an_eviction_compares_no_snapshots(repo):
     assert row(short) == row(full) == [("edge", "removed", "calls", 5), ("node", "removed", "routine", 2)]
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert "FullOuter" in plan(full) and "FullOuter" not in plan(short)
+
+
+def _watch_stores(monkeypatch):
+    """Rows of every table that a traversal stores."""
+    from graphloom.operators import traverse as t
+    from graphloom.sources import scratch
+
+    kept, store = [], scratch.store
+
+    def counted(df, label):
+        out = store(df, label)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(scratch, "store", counted)
+    monkeypatch.setattr(t, "store", counted)
+    return kept
+
+
+def test_taint_stores_no_pairs(spark, monkeypatch):
+    """40 sources reach 300 sinks over 2 nodes: 12,000 pairs, none of them stored; arrays of sinks are cut; hops are least ones on cycles."""
+    from graphloom.operators import rules
+
+    e = [(f"s{i}", f"m{i % 2}") for i in range(40)] + [(f"m{k}", f"t{j}") for k in range(2) for j in range(300)] + [("s0", "t5"), ("s0", "t5"), ("m0", "m1"), ("m1", "s1"), ("t5", "t6"), ("s1", "s1")]
+    near: dict[str, set[str]] = {}
+    for x, y in e:
+        near.setdefault(x, set()).add(y)
+    sources, sinks = [f"s{i}" for i in range(40)], [*(f"t{j}" for j in range(300)), "m1", "s1"]
+    want = {}
+    for s in sources:
+        seen, front = {s}, {s}
+        for hop in range(1, 3):
+            front = {y for x in front for y in near.get(x, ())} - seen
+            seen |= front
+            want |= {(s, y): hop for y in front if y in sinks}
+    kept = _watch_stores(monkeypatch)
+    if hasattr(traverse, "ARRAY"):
+        monkeypatch.setattr(traverse, "ARRAY", 50)
+    ids = lambda v: spark.createDataFrame([(x,) for x in v], "id string")
+    got = rules.taint(spark.createDataFrame(e, "src string, dst string"), ids(sources), ids(sinks), 2).collect()
+    assert {(r.source, r.sink): r.hops for r in got} == want and len(got) == len(want) > 12_000
+    assert max(kept) < 1_000
