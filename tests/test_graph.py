@@ -395,3 +395,24 @@ def test_taint_stores_no_pairs(spark, monkeypatch):
     got = rules.taint(spark.createDataFrame(e, "src string, dst string"), ids(sources), ids(sinks), 2).collect()
     assert {(r.source, r.sink): r.hops for r in got} == want and len(got) == len(want) > 12_000
     assert max(kept) < 1_000
+
+
+def test_k_shortest_paths_store_no_ends(spark, monkeypatch):
+    """40 starts reach 300 targets over 4 nodes: of 48,000 paths none is stored whole; three a pair stay, shorter ones first, by path."""
+    e = [(f"s{i}", f"m{k}") for i in range(40) for k in (1, 12, 3, 2)] + [(f"m{k}", f"t{j}") for k in (1, 12, 3, 2) for j in range(300)] + [("s0", "t5"), ("m3", "t5"), ("m3", "s7")]
+    starts, targets = [f"s{i}" for i in range(40)], [*(f"t{j}" for j in range(300)), "m3", "s7"]
+    near: dict[str, set[str]] = {}
+    for x, y in e:
+        near.setdefault(x, set()).add(y)
+    found: dict[tuple[str, str], list[tuple[int, str]]] = {}
+    for s in starts:
+        for m in near[s]:
+            found.setdefault((s, m), []).append((1, f"{s}>{m}"))
+            for t in near.get(m, set()) - {s}:
+                found.setdefault((s, t), []).append((2, f"{s}>{m}>{t}"))
+    want = {(*pair, n + 1, *p) for pair, ps in found.items() if pair[1] in targets for n, p in enumerate(sorted(ps)[:3])}
+    kept = _watch_stores(monkeypatch)
+    ids = lambda v: spark.createDataFrame([(x,) for x in v], "id string")
+    got = traverse.shortest_paths(ids(starts), ids(targets), spark.createDataFrame([(*x, "calls") for x in e], "src string, dst string, kind string"), 2).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 36_000
+    assert max(kept) < 2_000
