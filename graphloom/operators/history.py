@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.sources.scratch import store
+from graphloom.sources.scratch import pieces, store
 
 
 #: Releases that one row may hold.
@@ -37,12 +37,15 @@ def churn(touches: DataFrame, now: Column) -> DataFrame:
     return out.select("file", "commits", "authors", age.alias("age_days"), F.datediff(now, "last").alias("idle_days"), F.round(F.col("commits") / F.greatest(age, F.lit(1)), 6).alias("rate"))
 
 
-def last_owner(touches: DataFrame) -> DataFrame:
-    """The last author of each file, and the author of most commits (ties: smallest name)."""
-    last = touches.groupBy("file").agg(F.max_by("author", F.struct("ts", "commit", "author")).alias("last_author"))
-    by = touches.groupBy("file", "author").agg(F.countDistinct("commit").alias("n"))
-    main = by.groupBy("file").agg(F.min_by("author", F.struct(-F.col("n"), F.col("author"))).alias("owner"), F.max("n").alias("owner_commits"))
-    return last.join(main, "file")
+def last_owner(touches: DataFrame, rows: int) -> DataFrame:
+    """The last author of each file, and the author of most commits (ties: smallest name). rows: about how many
+    touches there are. An author's commits of a file are counted in one place, then a file's authors meet; both in
+    pieces that do not grow with the rows."""
+    n, own = pieces(rows), touches.where("file is not null").repartition(pieces(rows), "file", "author")
+    by = own.groupBy("file", "author").agg(F.countDistinct("commit").alias("n"), F.max(F.struct("ts", "commit")).alias("last"))
+    return by.repartition(n, "file").groupBy("file").agg(
+        F.max_by("author", F.struct("last", "author")).alias("last_author"), F.min_by("author", F.struct(-F.col("n"), F.col("author"))).alias("owner"), F.max("n").alias("owner_commits"),
+    )
 
 
 def added_in(files: DataFrame, releases: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from graphloom.operators import history as h
 from graphloom.plans.registry import query
 from graphloom.sources.model import table
+from graphloom.sources.scratch import pieces
 
 _NOW = "TIMESTAMP '2024-01-31 00:00:00'"
 _TOUCH = """WITH line AS (
@@ -16,7 +17,13 @@ _TOUCH = """WITH line AS (
 
 def _touches(s, d):
     o = table(s, d, "orders").select(F.col("o_orderkey").alias("commit"), F.col("o_custkey").alias("author"), F.col("o_orderdate").alias("ts"))
-    return table(s, d, "lineitem").select(F.col("l_orderkey").alias("commit"), F.col("l_partkey").alias("file")).join(o, "commit")
+    n = pieces(_rows(s, d))
+    line = table(s, d, "lineitem").select(F.col("l_orderkey").alias("commit"), F.col("l_partkey").alias("file"))
+    return line.repartition(n, "commit").join(o.repartition(n, "commit"), "commit")
+
+
+def _rows(s, d):
+    return table(s, d, "lineitem").count()
 
 
 def _now():
@@ -43,7 +50,7 @@ m AS (SELECT file, author AS owner, n AS owner_commits, row_number() OVER (PARTI
 l AS (SELECT file, author AS last_author, row_number() OVER (PARTITION BY file ORDER BY ts DESC, commit DESC, author DESC) AS r FROM line)
 SELECT file, last_author, owner, owner_commits FROM m JOIN l USING (file) WHERE m.r = 1 AND l.r = 1""")
 def _(s, d):
-    return h.last_owner(_touches(s, d))
+    return h.last_owner(_touches(s, d), _rows(s, d))
 
 
 @query("added_in_release", """WITH f AS (SELECT l_partkey AS file, min(l_shipdate) AS ts FROM lineitem GROUP BY 1),

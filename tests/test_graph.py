@@ -416,3 +416,21 @@ def test_k_shortest_paths_store_no_ends(spark, monkeypatch):
     got = traverse.shortest_paths(ids(starts), ids(targets), spark.createDataFrame([(*x, "calls") for x in e], "src string, dst string, kind string"), 2).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want) > 36_000
     assert max(kept) < 2_000
+
+
+def test_owners_are_dealt_by_rows(spark):
+    """The partitions follow the rows, not the session's shuffle partitions; the owners equal a count by hand."""
+    from graphloom.operators import history
+
+    rng = random.Random(3)
+    commits = {c: (f"p{rng.randrange(5)}", rng.randrange(9)) for c in range(60)}
+    rows = [(rng.choice([None, *"abcd"]), c, *commits[c]) for c in commits for _ in range(3)]
+    want = {}
+    for f in "abcd":
+        mine = [(ts, c, p) for g, c, p, ts in rows if g == f]
+        n = {p: len({c for _, c, q in mine if q == p}) for *_, p in mine}
+        owner = min(n, key=lambda p: (-n[p], p))
+        want[f] = (max(mine)[2], owner, n[owner])
+    out = history.last_owner(spark.createDataFrame(rows, "file string, commit long, author string, ts long"), 1_300_000)
+    assert {r.file: (r.last_author, r.owner, r.owner_commits) for r in out.collect()} == want
+    assert out.rdd.getNumPartitions() == 7
