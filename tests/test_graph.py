@@ -434,3 +434,19 @@ def test_owners_are_dealt_by_rows(spark):
     out = history.last_owner(spark.createDataFrame(rows, "file string, commit long, author string, ts long"), 1_300_000)
     assert {r.file: (r.last_author, r.owner, r.owner_commits) for r in out.collect()} == want
     assert out.rdd.getNumPartitions() == 7
+
+
+def test_degrees_and_the_build_are_dealt_by_rows(spark):
+    """Pieces follow the rows in degrees and inside `lean`, which leaves the session as it was."""
+    from graphloom.operators.graph_stats import degrees
+    from graphloom.sources.scratch import lean
+
+    key = "spark.sql.shuffle.partitions"
+    with lean(spark, 1_300_000):
+        assert spark.conf.get(key) == "7"
+    assert spark.conf.get(key) == "4"
+    n = spark.range(500_000).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("id"), F.lit("k").alias("kind"))
+    e = spark.range(500_000).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("src"), F.concat(F.lit("n"), (F.col("id") % 2).cast("string")).alias("dst"), F.lit("k").alias("kind"))
+    out = degrees(n, e)
+    assert out.rdd.getNumPartitions() == 5
+    assert {tuple(r) for r in out.groupBy("fan_in", "fan_out").count().collect()} == {(0, 1, 499_998), (250_000, 1, 2)}
