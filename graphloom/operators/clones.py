@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +14,9 @@ from graphloom.operators.algorithms import components
 from graphloom.sources.scratch import store
 
 HASHES, BANDS, ROWS, THRESHOLD, SHINGLE, LEAST_TOKENS = 64, 16, 4, 0.82, 3, 24
+#: Longs of a set's bitmap.
+WORDS = 32
+_BITS = [f"b{i}" for i in range(WORDS)]
 
 
 def shingle_hashes(text: Column, k: int = SHINGLE) -> Column:
@@ -21,13 +28,96 @@ def shingle_hashes(text: Column, k: int = SHINGLE) -> Column:
     return windows[0]
 
 
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+_SEEDS = np.arange(HASHES, dtype=np.uint64) * _P1
+#: Shingles rehashed at once: the few arrays of a step stay in a core's cache.
+_BLOCK = 1 << 14
+
+
+def _turned(x: np.ndarray, by: int, room: np.ndarray) -> None:
+    """Turn x to the left in place; room: an array as long."""
+    np.left_shift(x, np.uint64(by), out=room)
+    x >>= np.uint64(64 - by)
+    x |= room
+
+
+def _ended(x: np.ndarray, room: np.ndarray) -> np.ndarray:
+    for by, times in ((33, _P2), (29, _P3), (32, None)):
+        np.right_shift(x, np.uint64(by), out=room)
+        x ^= room
+        if times is not None:
+            x *= times
+    return x
+
+
+def _hash_long(x: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
+    """Spark's xxhash64 of longs after what `seed` is the hash of."""
+    x, room = x * _P2, np.empty_like(x)
+    _turned(x, 31, room)
+    x *= _P1
+    x ^= seed + (_P5 + np.uint64(8))
+    _turned(x, 27, room)
+    x *= _P1
+    x += _P4
+    return _ended(x, room)
+
+
+def _minima(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each run of shingles the minima of xxhash64(shingle, h), h below HASHES; runs begin at starts, none is empty."""
+    out = np.full((HASHES, len(starts)), np.iinfo(np.int64).max)
+    for at in range(0, len(shingles), _BLOCK):
+        to = min(at + _BLOCK, len(shingles))
+        first, last = int(np.searchsorted(starts, at, "right")) - 1, int(np.searchsorted(starts, to, "left"))
+        cuts = np.maximum(starts[first:last] - at, 0)
+        seed = _hash_long(shingles[at:to], np.uint64(42))
+        seed += _P5 + np.uint64(4)
+        x, room = np.empty_like(seed), np.empty_like(seed)
+        for h in range(HASHES):
+            np.bitwise_xor(seed, _SEEDS[h], out=x)
+            _turned(x, 23, room)
+            x *= _P2
+            x += _P3
+            least = np.minimum.reduceat(_ended(x, room).view(np.int64), cuts)
+            np.minimum(out[h, first:last], least, out=out[h, first:last])
+    return out.T
+
+
+def _signed(tokens: pa.ListArray, k: int = SHINGLE) -> tuple[list[int], list[int], list[int], np.ndarray]:
+    """Which lists of token hashes have shingles, the number and the hash of each one's distinct shingles, and their minima."""
+    cuts, flat = tokens.offsets.to_numpy(), tokens.values.to_numpy().view(np.uint64)
+    met, n, h, sets = [], [], [], []
+    for i in range(len(tokens)):
+        t = flat[cuts[i] : cuts[i + 1]]
+        if len(t) < LEAST_TOKENS:
+            continue
+        x = np.uint64(42)
+        for j in range(k):
+            x = _hash_long(t[j : len(t) - k + 1 + j], x)
+        x.sort()
+        x = x[np.concatenate(([True], x[1:] != x[:-1]))]
+        met.append(i)
+        n.append(len(x))
+        h.append(int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True))
+        sets.append(x)
+    if not met:
+        return met, n, h, np.zeros((0, HASHES), np.int64)
+    return met, n, h, _minima(np.concatenate(sets), np.cumsum([0, *n[:-1]]))
+
+
 def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, n, h, signature): number and hash of the sorted shingles, and the minimum of HASHES rehashes
-    of the shingles, each a map-side aggregate, so that no shingle is stored or shuffled."""
-    found = docs.select(F.col(key).alias("key"), F.sort_array(shingle_hashes(F.col(text))).alias("shingles"))
-    mins = [F.min(F.xxhash64("x", F.lit(h))).alias(f"m{h}") for h in range(HASHES)]
-    spread = found.select("key", F.size("shingles").alias("n"), F.xxhash64("shingles").alias("h"), F.explode("shingles").alias("x"))
-    return spread.groupBy("key", "n", "h").agg(*mins).select("key", "n", "h", F.array(*[f"m{h}" for h in range(HASHES)]).alias("signature"))
+    """(key, n, h, signature): number and hash of the distinct shingles, and the minimum of HASHES rehashes of
+    the shingles. Spark finds and hashes the tokens; shingles and minima come text by text from arrays in numpy, so
+    no shingle is stored or moved. Repeated rows come as often as they are."""
+    tokens = docs.select(F.col(key).alias("key"), F.transform(query_tokens(F.col(text)), lambda w: F.xxhash64(w)).alias("tokens")).where("tokens is not null")
+
+    def run(batches):
+        for batch in batches:
+            met, n, h, signature = _signed(batch.column("tokens"))
+            rows = pa.FixedSizeListArray.from_arrays(pa.array(signature.ravel()), HASHES).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(met, pa.int64())), pa.array(n, pa.int32()), pa.array(h, pa.int64()), rows], ["key", "n", "h", "signature"])
+
+    kind = dict(tokens.dtypes)["key"]
+    return tokens.mapInArrow(run, f"key {kind}, n int, h long, signature array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -40,23 +130,47 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return scored.where(F.col("similarity") >= threshold)
 
 
+def _bitmaps(sets: DataFrame) -> DataFrame:
+    """(key, b0, b1, ...): WORDS longs in which each shingle sets one bit. A bit that only one of two sets has stands for
+    at least one shingle that only this one has."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("shingles")
+            cuts, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            bits = np.zeros((batch.num_rows, WORDS * 64), bool)
+            bits[np.repeat(np.arange(batch.num_rows), np.diff(cuts)), flat[cuts[0] : cuts[-1]] & (WORDS * 64 - 1)] = True
+            words = np.packbits(bits, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(w) for w in words.T)], ["key", *_BITS])
+
+    shape = f"key {dict(sets.dtypes)['key']}, " + ", ".join(f"{b} long" for b in _BITS)
+    return sets.select("key", "shingles").mapInArrow(run, shape)
+
+
+def _may_reach(threshold: float) -> Column:
+    """Whether two sets of n and kn shingles with bitmaps b0, ... and k0, ... can have that Jaccard."""
+    only = lambda x, y: sum((F.bit_count(F.col(f"{x}{i}").bitwiseAND(F.bitwise_not(f"{y}{i}"))) for i in range(WORDS)), F.lit(0))
+    both = F.least(F.col("n") - only("b", "k"), F.col("kn") - only("k", "b"))
+    return both >= threshold * (F.col("n") + F.col("kn") - both) - 1e-6
+
+
 def clone_links(docs: DataFrame, key: str, text: str, threshold: float = THRESHOLD, rounds: int = 1) -> DataFrame:
     """(a, b, similarity): links that join every class of texts connected by pairs that share a band and
     reach the threshold; similarity is the exact Jaccard of the shingles.
 
     Not all pairs of a bucket are formed. Round 0 tests each member against its bucket's smallest key, the
     next rounds one member outside the bucket's largest class against those of other classes, and the last
-    step all members outside the largest class. Two members of one class are never tested, so no link
-    between classes is missed, and a bucket of near copies costs its size. Copies with equal shingles are
-    linked to the smallest key among them, which alone enters the buckets. Texts below LEAST_TOKENS tokens
-    have no links."""
-    sig = store(signatures(docs, key, text), "clones")
+    step all members outside the largest class, whose sets are moved only where bitmaps of theirs leave the
+    threshold open (`_may_reach`). Two members of one class are never tested, so no link between classes
+    is missed, and a bucket of near copies costs its size. Copies with equal shingles are linked to the smallest
+    key among them, which alone enters the buckets. Texts below LEAST_TOKENS tokens have no links."""
+    buckets = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(F.slice("signature", b * ROWS + 1, F.lit(ROWS))))
+    sig = store(signatures(docs, key, text).select("key", "n", "h", buckets.alias("buckets")), "clones")
     first = sig.groupBy("h", "n").agg(F.min("key").alias("copy_of"))
     same = store(sig.select("key", "h", "n").join(first, ["h", "n"]).select("key", "copy_of"), "clones")
     copies = same.where("key <> copy_of").select(F.col("copy_of").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("similarity"))
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(F.slice("signature", b * ROWS + 1, F.lit(ROWS))).alias("bucket")))
-    alone = sig.join(same.where("key = copy_of").select("key"), "key", "left_semi")
-    rows = store(alone.select("key", "n", F.explode(bands).alias("x")).select("key", "n", "x.band", "x.bucket"), "clones")
+    alone = sig.join(same.where("key = copy_of").select("key"), "key", "left_semi").dropDuplicates(["key", "n", "h"])
+    rows = store(alone.select("key", "n", F.posexplode("buckets").alias("band", "bucket")), "clones")
     at = ["band", "bucket"]
     start = store(rows.groupBy(at).agg(F.min(F.struct("key", "n")).alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"), "clones")
     rows = store(rows.join(start, at).select(*at, "key", "n", "p"), "clones")
@@ -77,10 +191,14 @@ def clone_links(docs: DataFrame, key: str, text: str, threshold: float = THRESHO
             break
         if turn <= rounds:
             minor = minor.groupBy(at).agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)), "key", "n", "c", "main")).alias("p")).select(*at, "p.key", "p.n", "p.c", "p.main")
-        one = minor.select(*at, F.col("key").alias("k"), F.col("n").alias("kn"), F.col("c").alias("kc"))
+        else:
+            bits = _bitmaps(sets.join(left.select("key").distinct(), "key", "left_semi"))
+            left = store(left.join(bits, "key"), "clones")
+            minor = left.where("c <> main")
+        one = minor.select(*at, F.col("key").alias("k"), F.col("n").alias("kn"), F.col("c").alias("kc"), *([F.col(b).alias(f"k{i}") for i, b in enumerate(_BITS)] if turn > rounds else []))
         met = left.join(one, at).where((F.col("c") != F.col("kc")) & sizes(F.col("n"), F.col("kn")))
         if turn > rounds:  # two members outside the largest class meet twice
-            met = met.where((F.col("c") == F.col("main")) | (F.col("k") < F.col("key")))
+            met = met.where(((F.col("c") == F.col("main")) | (F.col("k") < F.col("key"))) & _may_reach(threshold))
         pairs = met.select(F.least("k", "key").alias("a"), F.greatest("k", "key").alias("b")).distinct()
         links = store(links.unionByName(_verified(pairs, sets, threshold)), "clones")
     return links.unionByName(copies).dropDuplicates(["a", "b"])

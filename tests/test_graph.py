@@ -206,6 +206,37 @@ def test_minhash_clones_equal_brute_force(spark):
     assert got == _brute_classes(docs) and len(set(got.values())) < len(got)
 
 
+def test_signatures_are_spark_hashes_without_a_row_per_shingle(spark, monkeypatch):
+    """Minima equal those of Spark's xxhash64, whatever blocks the shingles are cut into; nothing is exploded or moved."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(40)}é" for _ in range(n)) for n in (24, 300, 25, 3, 90)] + ["", None, "same " * 30]
+    docs = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    found = clones.signatures(docs, "key", "text")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Exchange" not in plan
+    got = {r.key: (r.n, r.signature) for r in found.collect()}
+    x = docs.select("key", F.explode(clones.shingle_hashes(F.col("text"))).alias("x"))
+    mins = x.groupBy("key").agg(F.count("x").alias("n"), F.array(*[F.min(F.xxhash64("x", F.lit(h))) for h in range(clones.HASHES)]).alias("m"))
+    want = {r.key: (r.n, r.m) for r in mins.collect()}
+    assert got == want and set(got) == {0, 1, 2, 4, 7}
+    tokens = docs.select(F.transform(clones.query_tokens(F.col("text")), lambda w: F.xxhash64(w)).alias("t")).where("t is not null").toArrow()
+    monkeypatch.setattr(clones, "_BLOCK", 7)
+    assert [list(m) for m in clones._signed(tokens["t"].combine_chunks())[3]] == [want[k][1] for k in sorted(want)]
+
+
+def test_texts_that_share_buckets_form_no_square_of_pairs(spark, monkeypatch):
+    """A family of texts with three quarters of their words in common shares buckets without being clones: after
+    the pivots, hardly any two of their sets are compared. A clone among them is still found."""
+    shared = [f"word{i}x" for i in range(150)]
+    rows = [(k, " ".join(shared + [f"own{k}x{i}" for i in range(50)])) for k in range(60)]
+    rows.append((90, " ".join(shared + [f"own31x{i}" for i in range(45)])))
+    docs = spark.createDataFrame(rows, "key long, text string")
+    seen, verified = [], clones._verified
+    monkeypatch.setattr(clones, "_verified", lambda pairs, *more: (seen.append(pairs.count()), verified(pairs, *more))[1])
+    links = {(r.a, r.b) for r in clones.clone_links(docs, "key", "text").collect()}
+    assert links == {(31, 90)} and len(seen) == 3 and seen[-1] < len(rows)
+
+
 def test_vector_topk_equals_brute_force(spark):
     """Ties after rounding go by key; zero, null and shorter vectors have no cosine; nothing but k rows a query
     and task leaves the search."""
